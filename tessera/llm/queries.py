@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, mixing, substring_dedup, token_count
 
 QUERIES = {
+    "op5_token_count": token_count.query,
+    "op6_mixing": mixing.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 
 ORACLE_SQL = {
+    "op6_mixing": mixing.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
