@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, substring_dedup, token_count
+from . import decontaminate, jaccard_join, language_id, mixing, substring_dedup, token_count
 
 QUERIES = {
+    "op3_jaccard_join": jaccard_join.query,
+    "op4_language_id": language_id.query,
     "op5_token_count": token_count.query,
     "op6_mixing": mixing.query,
     "op9_decontaminate": decontaminate.query,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
