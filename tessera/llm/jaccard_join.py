@@ -118,15 +118,15 @@ def _set_ids(sizes, rows, shingles) -> list[pa.Array]:
     return [_signed(_sums(rows, mix(shingles ^ U64(k)), len(sizes))) for k in (0x1F, 0x2E5D)]
 
 
-def _digests(batches, size: int):
+def _digests(batches, sets_of):
     for batch in slices(batches, "text"):
-        sets = shingle_sets(batch.column("text"), size)
+        sets = sets_of(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets[0].astype(np.int64)), *_set_ids(*sets)], ["doc_id", "n", "s", "t"])
 
 
-def _segments(batches, size: int, num: int, den: int):
+def _segments(batches, sets_of, num: int, den: int):
     for batch in slices(batches, "text"):
-        sets = shingle_sets(batch.column("text"), size)
+        sets = sets_of(batch.column("text"))
         rows, hashes = segment_hashes(*sets, num, den)
         order = np.argsort(rows, kind="stable")
         offsets = np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -150,9 +150,9 @@ class Filter:
         return (self.cells[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def _sets(batches, size: int):
+def _sets(batches, sets_of):
     for batch in slices(batches, "text"):
-        sizes, _, shingles = shingle_sets(batch.column("text"), size)
+        sizes, _, shingles = sets_of(batch.column("text"))
         stops = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * 8
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(shingles.tobytes())]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw], ["doc_id", "shingles"])
@@ -242,7 +242,7 @@ def _block_links(num: int, den: int):
     return find
 
 
-def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, size: int = 3, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shingle_sets, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
 
     Null and empty texts have 0 shingles and are alone.  Rows of one doc_id count as one document
@@ -250,9 +250,9 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, size: int =
     Repeated rows are in one component.  An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    light = docs.mapInArrow(lambda b: _digests(b, size), "doc_id long, n long, s long, t long")
+    light = docs.mapInArrow(lambda b: _digests(b, sets_of), "doc_id long, n long, s long, t long")
     known = docs.filter("doc_id IS NOT NULL")
-    classes = known.mapInArrow(lambda b: _segments(b, size, num, den), "doc_id long, n long, s long, t long, segments array<long>").filter("n > 0").groupBy("s", "t", "n").agg(F.min("doc_id").alias("doc_id"), F.first("segments").alias("segments"))
+    classes = known.mapInArrow(lambda b: _segments(b, sets_of, num, den), "doc_id long, n long, s long, t long, segments array<long>").filter("n > 0").groupBy("s", "t", "n").agg(F.min("doc_id").alias("doc_id"), F.first("segments").alias("segments"))
     segments = classes.select("doc_id", F.explode("segments").alias("segment"))
     shared = segments.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("segment", "least")
     stars = segments.join(shared, "segment").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
@@ -265,7 +265,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, size: int =
         for batch in batches:
             keep = may_be.value(batch.column("at").to_numpy())
             if keep.any():
-                yield from _sets([batch.filter(pa.array(keep))], size)
+                yield from _sets([batch.filter(pa.array(keep))], sets_of)
 
     sets = known.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInArrow(chosen, "doc_id long, shingles binary")
     counts = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_docs)).cast("long").alias("chunks"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, mixing, substring_dedup, token_count
+from . import decontaminate, jaccard_join, language_id, mixing, spotsigs, substring_dedup, token_count
 
 QUERIES = {
+    "op2_spotsigs": spotsigs.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_language_id": language_id.query,
     "op5_token_count": token_count.query,
