@@ -61,7 +61,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_word_powers, _window_powers = _Powers(_WORD_BASE), _Powers(_WINDOW_BASE)
+word_powers, window_powers = _Powers(_WORD_BASE), _Powers(_WINDOW_BASE)
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -81,6 +81,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the accented Latin-1 letters (UTF-8 C3 80 to C3 9E without the times sign)."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[at]
+    at = at[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]
+    out[at] += 0x20
+    return out
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,7 +141,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, U64)
-        up, down = _word_powers(len(self.data) + 1)
+        up, down = word_powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, U64)
         np.cumsum(BYTE_VALUES[self.data] * up[:-1], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
@@ -159,7 +169,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     at = np.arange(total) + np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts)
-    up, down = _window_powers(len(hashes) + 1)
+    up, down = window_powers(len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, U64)
     np.cumsum(hashes * up[:-1], out=sums[1:])
     return at, mix((sums[at + size] - sums[at]) * down[at])

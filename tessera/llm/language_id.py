@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-An n-gram is four consecutive bytes of the lower-cased text (A-Z) whose ASCII non-letters
+An n-gram is four consecutive bytes of the lower-cased text (Latin-1) whose ASCII non-letters
 are spaces, with no space inside.  Their counts by language cover all learning documents.
 A language's filter holds the n-grams that make up at least `least_share` of its text and are
 there at least `least_ratio` times as frequent as where they are most frequent.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import LOWER, U64, flat, mix, slices
+from .buffers import LOWER, U64, flat, lower_latin, mix, slices
 
 UNDETERMINED = "und"
 PROBES = 3
@@ -32,7 +32,7 @@ _CLEAN[0x7B:0x80] = 0x20
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and value of each n-gram, in order."""
     rows = len(offsets) - 1
-    padded = np.insert(_CLEAN[data], offsets, 0x20)
+    padded = np.insert(_CLEAN[lower_latin(data)], offsets, 0x20)
     inside = padded != 0x20
     at = np.flatnonzero(inside[1:-2] & inside[2:-1]) if len(padded) > 3 else np.zeros(0, np.int64)
     p = padded.astype(np.uint32)

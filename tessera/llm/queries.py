@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, mixing, spotsigs, substring_dedup, token_count
+from . import decontaminate, jaccard_join, language_id, mixing, recurrent_lm, spotsigs, substring_dedup, token_count, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_spotsigs": spotsigs.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_language_id": language_id.query,
     "op5_token_count": token_count.query,
     "op6_mixing": mixing.query,
+    "op8_recurrent_lm": recurrent_lm.query,
     "op9_decontaminate": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
 }
