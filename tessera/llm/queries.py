@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, mixing, recurrent_lm, spotsigs, substring_dedup, token_count, toxicity
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, recurrent_lm, spotsigs, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.query,
     "op5_token_count": token_count.query,
     "op6_mixing": mixing.query,
+    "op7_chat_format": chat_format.query,
     "op8_recurrent_lm": recurrent_lm.query,
     "op9_decontaminate": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
