@@ -71,6 +71,7 @@ class RoleModel:
     def decode(self, seen: np.ndarray) -> np.ndarray:
         """The likeliest state of each line."""
         fits = sum(table[:, seen[:, k]] for k, table in enumerate(self.shows)).T
+        fits[1:, 0::2][(seen[1:, 0] == 0) & (seen[1:, 2] == 1)] = -1e9  # a blank line without a marker opens no turn
         best = self.first + fits[0]
         back = np.zeros(fits.shape, np.int64)
         for t in range(1, len(fits)):
