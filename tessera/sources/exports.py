@@ -23,7 +23,10 @@ from tessera.operators import identity, link
 MOST_MEMBERS, MOST_BYTES = 100_000, 20 << 30
 
 FILES = "snapshot string, file string, content binary, error string"
-NODES = "snapshot string, file string, node_id long, parent_id long, depth int, tag string, attrs map<string,string>, text string, tail string, section_path string, section_ident string, item_node long, error string"
+NODES = "snapshot string, file string, node_id long, parent_id long, depth int, tag string, attrs map<string,string>, text string, tail string, section_path string, section_ident string, section_node long, item_node long, condition_node long, negated boolean, feedback string, error string"
+
+_COLUMNS = [field.split()[0] for field in NODES.split(", ")]
+_TEXTS = ["tag", "text", "tail", "section_path", "section_ident", "feedback", "error"]
 
 
 def member_error(info: zipfile.ZipInfo) -> str | None:
@@ -56,22 +59,28 @@ def expand(path: str, content: bytes) -> Iterator[tuple[str, str, bytes | None,
 
 
 def walk(content: bytes) -> Iterator[dict]:
-    """Elements in document order, with what encloses them: titled sections and the nearest item."""
-    root = ElementTree.fromstring(content)
+    """Elements in document order, with what encloses them: titled sections, the nearest section, item, scoring
+    condition (and whether an odd number of negations is between) and feedback block."""
     number = 0
-    stack = [(root, None, 0, "", "", None)]
+    outside = {"section_path": "", "section_ident": "", "section_node": None, "item_node": None, "condition_node": None, "negated": False, "feedback": None}
+    stack = [(ElementTree.fromstring(content), None, 0, outside)]
     while stack:
-        node, parent, depth, path, section, item = stack.pop()
+        node, parent, depth, around = stack.pop()
         number += 1
         tag = node.tag.rpartition("}")[2]
         if tag == "section":
-            title = (node.get("title") or "").strip()
-            path = " > ".join(x for x in (path, title) if x)
-            section = node.get("ident") or section
+            path = " > ".join(x for x in (around["section_path"], (node.get("title") or "").strip()) if x)
+            around = {**around, "section_path": path, "section_ident": node.get("ident") or around["section_ident"], "section_node": number}
         elif tag == "item":
-            item = number
-        yield {"node_id": number, "parent_id": parent, "depth": depth, "tag": tag, "attrs": {k.rpartition("}")[2]: v for k, v in node.attrib.items()}, "text": node.text, "tail": node.tail, "section_path": path, "section_ident": section, "item_node": item}
-        stack += [(child, number, depth + 1, path, section, item) for child in reversed(node)]
+            around = {**around, "item_node": number}
+        elif tag == "respcondition":
+            around = {**around, "condition_node": number, "negated": False}
+        elif tag == "not":
+            around = {**around, "negated": not around["negated"]}
+        elif tag == "itemfeedback":
+            around = {**around, "feedback": node.get("ident")}
+        yield {"node_id": number, "parent_id": parent, "depth": depth, "tag": tag, "attrs": {k.rpartition("}")[2]: v for k, v in node.attrib.items()}, "text": node.text, "tail": node.tail, **around}
+        stack += [(child, number, depth + 1, around) for child in reversed(node)]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -97,11 +106,11 @@ def read_nodes(files: DataFrame) -> DataFrame:
                     continue
                 try:
                     nodes = pd.DataFrame(list(walk(bytes(row.content))))
-                    nodes["error"] = None
                 except ElementTree.ParseError as e:
-                    nodes = pd.DataFrame([{"node_id": 0, "attrs": {}, "text": None, "error": str(e)}])
+                    nodes = pd.DataFrame([{"node_id": 0, "attrs": {}, "error": str(e)}])
                 nodes["snapshot"], nodes["file"] = row.snapshot, row.file
-                yield nodes.reindex(columns=["snapshot", "file", "node_id", "parent_id", "depth", "tag", "attrs", "text", "tail", "section_path", "section_ident", "item_node", "error"]).astype({"parent_id": "Int64", "item_node": "Int64", "depth": "Int32", "tag": object, "tail": object, "section_path": object, "section_ident": object}).replace({float("nan"): None})
+                nodes = nodes.reindex(columns=_COLUMNS).astype({"parent_id": "Int64", "item_node": "Int64", "section_node": "Int64", "condition_node": "Int64", "depth": "Int32", "negated": "boolean"})
+                yield nodes.astype({c: object for c in _TEXTS}).replace({c: {float("nan"): None} for c in _TEXTS})
 
     return files.mapInPandas(walked, NODES)
 

@@ -87,3 +87,26 @@ def test_event_streams(spark, tmp_path):
     assert sorted((r.start.hour, r.k, r.n_events) for r in ran(events.windowed_counts(stream, "at", "k"), "counts", "complete")) == [(0, "a", 2), (1, "a", 1), (1, "b", 2)]
     assert len(ran(events.first_occurrences(stream, ["k", "n"], "at"), "firsts", "append")) == 4
     assert sorted((r.k, r.expected, r.found) for r in ran(events.sequence_breaks(stream, "k", "n"), "breaks", "append")) == [("a", 3, 4), ("b", 2, 1)]
+
+
+SCORED = """<q><assessment title="t"><section title="S" ident="s"><qtimetadata><qti_metadatafield><fieldlabel>qmd_numberofitems</fieldlabel><fieldentry>3</fieldentry></qti_metadatafield></qtimetadata>
+<item ident="a"><presentation><response_label ident="A1"/><response_label ident="A2"/></presentation><resprocessing>
+<respcondition><conditionvar><varequal respident="r">A1</varequal><not><varequal respident="r">A2</varequal></not></conditionvar><setvar varname="que_score">100</setvar><displayfeedback linkrefid="F1"/></respcondition>
+<respcondition><conditionvar><varequal respident="r">A2</varequal></conditionvar><setvar varname="x">0</setvar><displayfeedback linkrefid="F2"/></respcondition>
+<respcondition><conditionvar><varequal respident="r">A2</varequal></conditionvar><displayfeedback linkrefid="F3"/></respcondition></resprocessing>
+<itemfeedback ident="F1"><mattext>well done</mattext></itemfeedback><itemfeedback ident="F2"><mattext>no</mattext></itemfeedback><itemfeedback ident="F3"><mattext>look again</mattext></itemfeedback><itemfeedback ident="F4"><mattext>note</mattext></itemfeedback></item>
+<item ident="b"><resprocessing><respcondition><conditionvar><varequal respident="r">paris</varequal></conditionvar><setvar varname="Part_Correct"/></respcondition></resprocessing></item>
+<section title="Inner"><item ident="c"><answer_key><mattext>see guide</mattext></answer_key></item><itemref linkrefid="z"/></section><item ident="d"/></section></assessment></q>"""
+
+
+def test_keys_feedback_and_sections(spark, tmp_path):
+    from tessera.sources import responses
+
+    (tmp_path / "quiz.xml").write_text(SCORED)
+    nodes = exports.read_nodes(exports.read_files(spark, str(tmp_path))).cache()
+    keys = {r.ident: (list(r.key), r.basis) for r in responses.answer_keys(nodes).collect()}
+    assert keys == {"a": (["A1"], "choice"), "b": (["paris"], "literal"), "c": ([], "manual"), "d": ([], "not_found")}
+    channels = {r.feedback: (r.channel, r.chosen, r.content) for r in responses.feedback(nodes).collect()}
+    assert channels == {"F1": ("correct", None, "well done"), "F2": ("incorrect", None, "no"), "F3": ("choice", "A2", "look again"), "F4": ("general", None, "note")}
+    found = {r.section_path: (r.draw_count, r.n_items, r.n_references, r.state) for r in responses.sections(nodes).collect()}
+    assert found == {"S": (3, 3, 0, "draw"), "S > Inner": (None, 1, 1, "fixed")}
