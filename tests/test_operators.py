@@ -137,3 +137,21 @@ def test_scans(spark):
     assert {(r.id, r.line_number, r.rule, r.n_found) for r in scan.scan_lines(rows, "id", "t").collect()} == {(1, 2, "email", 2), (1, 3, "secret", 1)}
     docs = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}], "c": null}'), (2, "not json"), (3, None)], "id int, j string")
     assert {tuple(r) for r in scan.json_leaves(docs, "id", "j").collect()} == {(1, "$.a[0]", "1"), (1, "$.a[1].b", "x"), (1, "$.c", "null"), (2, None, "not json")}
+
+
+def test_spoken_mathematics(spark):
+    from tessera.functions import mathtext
+
+    said = {
+        "fraction numerator a plus 1 over denominator b end fraction": "(a + 1)/(b)",
+        "fraction numerator x over denominator y end fraction": "x/y",
+        "x squared plus three fourths": "x² + 3/4",
+        "x to the power of 5 end exponent equals negative 2": "x⁵ = -2",
+        "y to the power of k": "y^k",
+        "( 3 ) , 4 = - 2": "(3), 4 = -2",
+    }
+    for given, wanted in said.items():
+        assert one(spark, mathtext.symbols(F.col("t")), t=given) == wanted
+    assert one(spark, mathtext.raised(F.col("t")), t="-12") == "⁻¹²" and one(spark, mathtext.raised(F.col("t")), t="x") is None
+    assert [one(spark, mathtext.bracketed(F.col("t")), t=x) for x in ("a b", "ab", "(a b)")] == ["(a b)", "ab", "(a b)"]
+    assert one(spark, mathtext.operator(F.col("t")), t=" * ") == "×"
