@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that a task turns into arrays at a time; one longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

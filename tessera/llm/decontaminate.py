@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .buffers import NON_ALNUM, U64, flat, slices, words
 
 #: Bytes of benchmark text that one task holds at a time.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE_EVERY = 8
 
 

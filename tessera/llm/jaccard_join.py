@@ -3,13 +3,14 @@
 A text's set is its distinct 3-word shingles (as 64-bit hashes); fewer words are one shingle,
 and no words an empty set, linked with nothing.  Sets link at Jaccard >= num/den.
 
-1. Documents with equal sets form a class; its least doc_id stands for it from here on.
-2. Two linked sets differ in at most H shingles, H following from their size band.  Dealt
+1. Two linked sets differ in at most H shingles, H following from their size band.  Dealt
    into H + 1 segments by hash, they agree on a whole segment, so whatever could link shares
    a segment hash.  Each document is joined to the least document of each of its segments
-   (a star, never all pairs), and the components of these stars are blocks: documents of
-   different blocks cannot link.
-3. Only documents in blocks send their sets, once.  In a block an inverted index of shingles
+   (a star, never all pairs; a task does so for what it sees before it sends one row for each
+   segment), and the components of these stars are blocks: documents of different blocks
+   cannot link.
+2. Documents with equal sets form a class; its least doc_id stands for it from here on.
+3. Only such documents in blocks send their sets, once.  In a block an inverted index of shingles
    is searched for each document: the short lists are merged with a heap that skips, the long
    ones probed by bisection, until the required overlap is reached.  Pairs that are already
    connected are not searched for again.
@@ -32,6 +33,7 @@ from .lineage import checkpoint, components
 
 SEEDS = 4
 BLOCK_DOCS = 1500
+SEGMENTS_AT_A_TIME = 2_000_000
 #: Weight of a probe against a merge step in DivideSkip's choice of the number of long lists.
 PROBE_WEIGHT = 0.01
 
@@ -124,14 +126,53 @@ def _digests(batches, sets_of):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets[0].astype(np.int64)), *_set_ids(*sets)], ["doc_id", "n", "s", "t"])
 
 
-def _segments(batches, sets_of, num: int, den: int):
+def _stars(batches, sets_of, num: int, den: int):
+    """segment, u, v: the least document of each segment among so many at a time (v null), and the edges to it
+    from the other ones (segment any value, v not null)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        segment, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, segment))
+        segment, doc = segment[order], doc[order]
+        first = np.concatenate([[True], segment[1:] != segment[:-1]])
+        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
+        other = doc != least
+        edges = np.unique(np.stack([doc[other], least[other]]), axis=1)
+        columns = [_signed(segment[first]), pa.array(doc[first]), pa.nulls(int(first.sum()), pa.int64())]
+        table = pa.table(columns, names=["segment", "u", "v"])
+        yield from table.to_batches(max_chunksize=200_000)
+        columns = [_signed(mix(edges[0].astype(U64))), pa.array(edges[0]), pa.array(edges[1])]
+        yield from pa.table(columns, names=["segment", "u", "v"]).to_batches(max_chunksize=200_000)
+
     for batch in slices(batches, "text"):
-        sets = sets_of(batch.column("text"))
-        rows, hashes = segment_hashes(*sets, num, den)
-        order = np.argsort(rows, kind="stable")
-        offsets = np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(hashes[order]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets[0].astype(np.int64)), *_set_ids(*sets), lists], ["doc_id", "n", "s", "t", "segments"])
+        rows, hashes = segment_hashes(*sets_of(batch.column("text")), num, den)
+        if len(rows):
+            held.append((hashes, batch.column("doc_id").to_numpy()[rows]))
+        if sum(len(x) for x, _ in held) > SEGMENTS_AT_A_TIME:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _meet(batches):
+    """Edges from each document to the least one of its segment, of rows sorted by segment and u; edges pass."""
+    last, least_of_last = None, 0
+    for batch in batches:
+        is_edge = batch.column("v").is_valid().to_numpy(zero_copy_only=False)
+        segment, doc = batch.column("segment").to_numpy()[~is_edge], batch.column("u").to_numpy()
+        found = [np.stack([doc[is_edge], batch.column("v").drop_null().to_numpy()])]
+        doc = doc[~is_edge]
+        if len(doc):
+            first = np.concatenate([[segment[0] != last], segment[1:] != segment[:-1]])
+            start = np.maximum.accumulate(np.where(first, np.arange(len(doc)), -1))
+            least = np.where(start < 0, least_of_last, doc[start])
+            last, least_of_last = segment[-1], least[-1]
+            other = doc != least
+            found.append(np.stack([doc[other], least[other]]))
+        u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 class Filter:
@@ -250,13 +291,13 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
     Repeated rows are in one component.  An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
-    light = docs.mapInArrow(lambda b: _digests(b, sets_of), "doc_id long, n long, s long, t long")
+    light = checkpoint(docs.mapInArrow(lambda b: _digests(b, sets_of), "doc_id long, n long, s long, t long"))
     known = docs.filter("doc_id IS NOT NULL")
-    classes = known.mapInArrow(lambda b: _segments(b, sets_of, num, den), "doc_id long, n long, s long, t long, segments array<long>").filter("n > 0").groupBy("s", "t", "n").agg(F.min("doc_id").alias("doc_id"), F.first("segments").alias("segments"))
-    segments = classes.select("doc_id", F.explode("segments").alias("segment"))
-    shared = segments.groupBy("segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("segment", "least")
-    stars = segments.join(shared, "segment").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()
-    blocks = components(stars).withColumnsRenamed({"id": "doc_id", "label": "block"})
+    shared = known.mapInArrow(lambda b: _stars(b, sets_of, num, den), "segment long, u long, v long").repartition("segment").sortWithinPartitions("segment", "u")
+    stars = shared.mapInArrow(_meet, "u long, v long")
+    groups = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "t", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    spoken_for = light.join(groups.filter("copies > 1").select("s", "t", "n", "least"), ["s", "t", "n"]).filter("doc_id <> least").select("doc_id").distinct()
+    blocks = checkpoint(components(stars).withColumnsRenamed({"id": "doc_id", "label": "block"}).join(spoken_for, "doc_id", "left_anti"))
 
     may_be = docs.sparkSession.sparkContext.broadcast(Filter(blocks.select("doc_id")))
     bits = may_be.value.bits
@@ -288,7 +329,6 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
         found = found.unionByName(more)
 
     labels = components(found)
-    groups = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "t", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     renamed = groups.join(labels.select(F.col("id").alias("least"), "label"), "least", "left").filter("copies > 1 OR label IS NOT NULL").select("s", "t", "n", F.coalesce("label", "least").alias("label"))
     return light.join(renamed, ["s", "t", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
 

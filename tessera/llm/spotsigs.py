@@ -31,6 +31,9 @@ der die das und den von zu mit sich des auf ist im dem nicht ein eine als auch e
 el los las del y que en un una por con para su al lo como se no es
 """.split()
 
+#: Bounds that the driver holds at most.
+MOST_RUNS = 20_000
+
 
 def _anchor_hashes() -> np.ndarray:
     column = pa.array([" ".join(sorted(set(ANCHORS)))])
@@ -115,14 +118,15 @@ def in_order(docs: DataFrame, run_rows: int = 200) -> DataFrame:
     """docs (doc_id, text) in ascending order, cut into short runs: __run, and __end on one more row
     than the run has, the one that follows it (after the last run: the first row).
 
-    Bounds are doc_ids of the table, one for about `run_rows` rows.  Rows of one doc_id follow
+    Bounds are doc_ids of the table, one for about `run_rows` rows, `MOST_RUNS` at most: runs are read
+    as streams, so longer ones need no more memory.  Rows of one doc_id follow
     each other by text; null comes first.
     """
     docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("__at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, low = docs.agg(F.count("*"), F.min("__at")).first()
     if not n:
         return docs.select(F.lit(0).alias("__run"), F.lit(False).alias("__end"), "__at", "doc_id", "text")
-    runs = max(1, -(-n // run_rows))
+    runs = min(max(1, -(-n // run_rows)), MOST_RUNS)
     part = docs.agg(F.percentile_approx("__at", [i / runs for i in range(1, runs)] or [0.5], F.lit(min(runs * 50, 1_000_000))).alias("p")).first().p if runs > 1 else []
     bounds = sorted({low, *part})
     starts = np.array(bounds, np.int64)

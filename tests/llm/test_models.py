@@ -321,3 +321,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert set(kept[4]) <= set(kept[3]) and all(r.taken > 0 for r in kept[4].values())
     run = corpus_pipeline.run(spark, str(folder)).collect()
     assert {r.doc_id for r in run} == set(kept[4])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, empty):
+    rows = [] if empty else [*brute.awkward(), (40, "plain words here"), (41, None)]
+    folder = tmp_path / "tables"
+    frame = brute.frame(spark, rows).withColumn("source", F.when(F.col("doc_id") != 40, F.col("source")))
+    frame.withColumn("n_chars", F.when(F.col("doc_id") != 3, F.col("n_chars"))).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    out = spark.read.parquet(str(folder / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out, str(folder)).write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
+    kept = {r.doc_id for r in out.collect()}
+    assert kept <= {i for i, _ in rows} and not kept & {0, 1, 2, 41} and (empty or {3, 7, 40} & kept)
