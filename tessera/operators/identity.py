@@ -32,3 +32,16 @@ def first_hit(rows: DataFrame, key: str, aliases: list[Column], facts: DataFrame
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row for each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def first_unique(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """key, identity, basis: the first of some names that no other row has, else the key itself.
+
+    Counts come from aggregates and joins, so a name that many rows share gathers nowhere."""
+    out = rows
+    for n in names:
+        alone = rows.filter(F.col(n).isNotNull()).groupBy(n).agg(F.count("*").alias("__c")).filter("__c = 1").select(n, F.lit(True).alias(f"__one_{n}"))
+        out = out.join(alone, n, "left")
+    identity = F.coalesce(*[F.when(F.col(f"__one_{n}"), F.col(n)) for n in names], F.col(key).cast("string"))
+    basis = F.coalesce(*[F.when(F.col(f"__one_{n}"), F.lit(n)) for n in names], F.lit(key))
+    return out.select(key, identity.alias("identity"), basis.alias("basis"))

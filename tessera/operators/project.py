@@ -18,3 +18,18 @@ def lanes(rows: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
     """One row for each lane that a row belongs to, numbered by the lane's place in `tests`."""
     found = F.array(*[F.when(test, F.struct(F.lit(i).alias("lane_order"), F.lit(name).alias("lane"))) for i, (name, test) in enumerate(tests.items(), 1)])
     return rows.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("l")).select(key, "l.lane_order", "l.lane")
+
+
+def numbered(rows: DataFrame, kind: str, order: list[Column]) -> DataFrame:
+    """Numbers all rows from 1, kind after kind, in order within each: counts by kind give where its numbers start,
+    so only the table of kinds is sorted in one task."""
+    sizes = rows.groupBy(kind).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(kind).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(kind, before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    return rows.withColumn("__own", own).join(starts, kind).withColumn("number", F.col("__before") + F.col("__own")).drop("__own", "__before")
+
+
+def placed(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """Adds place: 1 for the first row of each group in order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import governance, linking, reviews, rollups, texts
+from . import assessments, governance, linking, reviews, rollups, texts
 
-_MODULES = (rollups, texts, linking, governance, reviews)
+_MODULES = (rollups, texts, linking, governance, reviews, assessments)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
