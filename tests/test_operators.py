@@ -155,3 +155,11 @@ def test_spoken_mathematics(spark):
     assert one(spark, mathtext.raised(F.col("t")), t="-12") == "⁻¹²" and one(spark, mathtext.raised(F.col("t")), t="x") is None
     assert [one(spark, mathtext.bracketed(F.col("t")), t=x) for x in ("a b", "ab", "(a b)")] == ["(a b)", "ab", "(a b)"]
     assert one(spark, mathtext.operator(F.col("t")), t=" * ") == "×"
+
+
+def test_numbers_and_unique_names(spark):
+    rows = spark.createDataFrame([(1, "b", 5), (0, "a", 9), (1, "b", 3), (0, None, 1)], "kind int, name string, id int")
+    assert {r.id: r.number for r in project.numbered(rows, "kind", [F.col("id")]).collect()} == {1: 1, 9: 2, 3: 3, 5: 4}
+    assert {r.id: r.place for r in project.placed(rows, ["kind"], [F.desc("id")]).collect()} == {9: 1, 1: 2, 5: 1, 3: 2}
+    assert {r.id: (r.identity, r.basis) for r in identity.first_unique(rows, "id", ["name"]).collect()} == {5: ("5", "id"), 3: ("3", "id"), 9: ("a", "name"), 1: ("1", "id")}
+    assert project.numbered(rows.filter("false"), "kind", [F.col("id")]).count() == 0
