@@ -1,10 +1,11 @@
 """Toxicity by noisy-channel deobfuscation and scoring of the restored text.
 
-A word that looks disguised (a digit or symbol between letters, a letter three times over,
-letters set apart by blanks, dots, dashes or stars) spans a lattice: each symbol may stand for
-some letters, a run may be one letter or two, a separator nothing, each at a channel cost.
-Viterbi decoding under a character trigram model of the corpus picks the likeliest reading,
-which replaces the word; a worker keeps what it has decoded.
+A word that may be disguised (letters with digits or symbols at any place, a letter three times
+over, separators inside, single letters set apart by blanks; of any length) spans a lattice:
+each symbol may stand for some letters, a run may be one letter or two, a separator or a blank
+nothing or a word break, each at a channel cost.  Viterbi decoding under a character trigram
+model of the corpus picks the likeliest reading, which replaces the word; a worker keeps what it
+has decoded.
 
 The restored text is scored by its words and word beginnings.  Those that a bounded sample of
 labelled rows singles out carry a weight; a logistic model takes the greatest weight, the
@@ -15,6 +16,7 @@ weighed by what the other half singles out.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,10 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 SEPARATORS = ".-_*"
-LONGEST_WORD = 40
+#: Channel symbols that are punctuation at the start or the end of a word as well.
+OPENING, CLOSING = "(", "!"
 SPACED_LETTERS = 4
+GAPS = re.compile(r"([\x20\x09-\x0D]+)")
 #: Channel costs, natural logarithms: a symbol read as a letter, as itself, dropped; a run read as one letter or two.
 SWAPPED, KEPT, DROPPED, RUN_AS_ONE, RUN_AS_TWO, PAIR_AS_ONE = -1.0, -4.0, -3.0, -0.5, -1.0, -2.0
 
@@ -45,12 +49,11 @@ THRESHOLD = 0.7
 _LETTER = byte_table((0x61, 0x7A))
 _SYMBOL = byte_table(*((ord(c), ord(c)) for c in LEET if ord(c) < 128))
 _SEPARATOR = byte_table(*((ord(c), ord(c)) for c in SEPARATORS))
-_EDGE = "0123456789"
-SYMBOLS = 28  # blank, a-z, anything else
+SYMBOLS = 28  # blank or anything else in ASCII, a-z, beyond ASCII
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 27 if ord(c) > 127 else 0
 
 
 def _trigrams(batches):
@@ -88,28 +91,38 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         while j < len(word) and word[j] == word[i]:
             j += 1
         c, n = word[i], j - i
-        if c in LEET:
-            single = [(x, SWAPPED) for x in LEET[c]] + [(c, KEPT)]
-        elif c.isalpha():
-            single = [(c, 0.0)]
-        else:
-            single = [("", 0.0 if c in SEPARATORS else DROPPED)]
+        i = j
+        if c not in LEET and not c.isalpha():
+            out.append([("", 0.0 if c in SEPARATORS else DROPPED), (c * n, 0.0)])
+            continue
+        single = [(x, SWAPPED) for x in LEET[c]] if c in LEET else [(c, 0.0)]
         if n == 1:
             out.append(single)
         elif n == 2:
-            out.append([(x * 2, cost) for x, cost in single] + [(x, cost + PAIR_AS_ONE) for x, cost in single if x])
+            out.append([(x * 2, cost) for x, cost in single] + [(x, cost + PAIR_AS_ONE) for x, cost in single])
         else:
-            out.append([(x, cost + RUN_AS_ONE) for x, cost in single] + [(x * 2, cost + RUN_AS_TWO) for x, cost in single if x])
-        i = j
+            out.append([(x, cost + RUN_AS_ONE) for x, cost in single] + [(x * 2, cost + RUN_AS_TWO) for x, cost in single])
+        if c in LEET:
+            out[-1].append((c * n, KEPT))
     return out
 
 
-def decode(word: str, log: list) -> str:
-    """The likeliest reading of a disguised word (Viterbi over the last two symbols)."""
-    best = {(0, 0): (0.0, "")}
-    for readings in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The same of single letters with blanks between, where each gap may be a word break; one wider than others hardly is none."""
+    parts = GAPS.split(run)
+    least = min(map(len, parts[1::2]))
+    out = []
+    for i, part in enumerate(parts):
+        out += [[("", 0.0 if len(part) == least else DROPPED), (" ", 0.0)]] if i % 2 else lattice(part)
+    return out
+
+
+def likeliest(steps: list[list[tuple[str, float]]], log: list) -> tuple[float, str]:
+    """Score and text of the best way through a lattice (Viterbi over the last two symbols), in time linear in its length."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for readings in steps:
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, way) in best.items():
             for letters, cost in readings:
                 x, y, total = a, b, score + cost
                 for c in letters:
@@ -117,35 +130,60 @@ def decode(word: str, log: list) -> str:
                     total += log[x][y][s]
                     x, y = y, s
                 if total > after.get((x, y), (-math.inf,))[0]:
-                    after[(x, y)] = (total, text + letters)
+                    after[(x, y)] = (total, (way, letters) if letters else way)
         best = after
-    return max((score + log[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+    ends = [(score + log[a][b][0], way) for (a, b), (score, way) in best.items()]
+    top, texts = max(score for score, _ in ends), []
+    for score, way in ends:
+        if score == top:
+            parts = []
+            while way is not None:
+                way, letters = way
+                parts.append(letters)
+            texts.append("".join(reversed(parts)))
+    return top, max(texts)
+
+
+def decode(word: str, log: list) -> str:
+    """The likeliest reading of a disguised word."""
+    return likeliest(lattice(word), log)[1]
 
 
 class Restorer:
-    """Disguised words -> readings, kept up to a number of entries."""
+    """Disguised words -> readings, kept up to a number of entries and of bytes."""
 
-    def __init__(self, model: CharacterModel, entries: int = 200_000):
-        self.log, self.entries, self.known = model.log, entries, {}
+    def __init__(self, model: CharacterModel, entries: int = 200_000, most_bytes: int = 16 << 20):
+        self.log, self.entries, self.most_bytes, self.known, self.bytes = model.log, entries, most_bytes, {}, 0
 
     def __call__(self, raw: bytes) -> bytes:
         if raw not in self.known:
-            if len(self.known) >= self.entries:
+            if len(self.known) >= self.entries or self.bytes > self.most_bytes:
                 self.known.clear()
+                self.bytes = 0
             self.known[raw] = self._read(raw.decode())
+            self.bytes += len(raw) + len(self.known[raw])
         return self.known[raw]
 
     def _read(self, word: str) -> bytes:
-        def edge(c: str) -> bool:
-            return c.isalpha() or c in _EDGE
-
-        low, high = 0, len(word)
-        while low < high and not (edge(word[low]) or word[low] in "@$"):
-            low += 1
-        while high > low and not edge(word[high - 1]):
-            high -= 1
-        core = word[low:high]
-        return (word[:low] + (decode(core, self.log) if any(c.isalpha() for c in core) else core) + word[high:]).encode()
+        if not any(c.isalpha() for c in word):
+            return word.encode()
+        if GAPS.search(word):
+            return likeliest(spaced_lattice(word), self.log)[1].encode()
+
+        def bounds(opening: str, closing: str) -> tuple[int, int]:
+            """The word without what is punctuation at its edges."""
+            low, high = 0, len(word)
+            while low < high and not (word[low].isalpha() or word[low] in LEET and word[low] not in opening):
+                low += 1
+            while high > low and not (word[high - 1].isalpha() or word[high - 1] in LEET and word[high - 1] not in closing):
+                high -= 1
+            return low, high
+
+        best = None
+        for low, high in sorted({bounds(x, y) for x in ("", OPENING) for y in ("", CLOSING)}):
+            score, text = likeliest(lattice(word[low:high]), self.log)
+            best = max(best or (-math.inf,), (score, word[:low] + text + word[high:]))
+        return best[1].encode()
 
     def restore(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts in lower case (Latin-1) with disguised words as read."""
@@ -154,30 +192,29 @@ class Restorer:
         n = len(d)
         if n < 3:
             return d, offsets
-        letter, symbol = _LETTER[d], _SYMBOL[d]
-        odd = np.zeros(n, bool)
-        odd[1:-1] |= letter[:-2] & symbol[1:-1] & letter[2:]
-        odd[1:-2] |= letter[:-3] & symbol[1:-2] & symbol[2:-1] & letter[3:]
+        letter, symbol, parted = _LETTER[d], _SYMBOL[d], _SEPARATOR[d]
+        beyond = d > 127
+        odd = symbol.copy()
+        odd[:-1] |= (d[:-1] == 0xC2) & (d[1:] == 0xA3)  # pound
+        odd[:-2] |= (d[:-2] == 0xE2) & (d[1:-1] == 0x82) & (d[2:] == 0xAC)  # euro
         odd[:-2] |= letter[:-2] & (d[:-2] == d[1:-1]) & (d[1:-1] == d[2:])
-        parted = _SEPARATOR[d]
-        if n > 4:
-            odd[:-4] |= letter[:-4] & parted[1:-3] & letter[2:-2] & parted[3:-1] & letter[4:]
-        first = w.starts[w.ends - w.starts > 2]
-        odd[first] |= symbol[first] & letter[first + 1]
-        last = w.ends[w.ends - w.starts > 2] - 1
-        odd[last] |= (d[last] >= 0x30) & (d[last] <= 0x39) & letter[last - 1]
-        before = np.concatenate([[0], np.cumsum(odd)])
+        odd[1:-1] |= parted[1:-1] & ~BLANKS[d[:-2]] & (letter | beyond)[2:]
         sizes = w.ends - w.starts
-        flagged = (before[w.ends] > before[w.starts]) & (sizes <= LONGEST_WORD)
+
+        def some(of: np.ndarray) -> np.ndarray:
+            before = np.concatenate([[0], np.cumsum(of)])
+            return before[w.ends] > before[w.starts]
+
+        flagged = some(odd) & some(letter | beyond) & (sizes > 1)
         single = (sizes == 1) & (letter[w.starts] | symbol[w.starts])
-        edits = [(int(w.starts[i]), int(w.ends[i]), None) for i in np.flatnonzero(flagged)]
+        edits = [(int(w.starts[i]), int(w.ends[i])) for i in np.flatnonzero(flagged)]
         edits += self._spaced(w, single)
         if not edits:
             return d, offsets
         edits.sort()
         raw, parts, at, moved = d.tobytes(), [], 0, []
-        for start, stop, joined in edits:
-            new = self(joined if joined is not None else raw[start:stop])
+        for start, stop in edits:
+            new = self(raw[start:stop])
             parts += [raw[at:start], new]
             moved.append((stop, len(new) - (stop - start)))
             at = stop
@@ -185,8 +222,8 @@ class Restorer:
         shift = np.concatenate([[0], np.cumsum([x for _, x in moved])])
         return np.frombuffer(b"".join(parts), np.uint8), offsets + shift[np.searchsorted([x for x, _ in moved], offsets, side="right")]
 
-    def _spaced(self, w: Words, single: np.ndarray) -> list[tuple[int, int, bytes]]:
-        """Runs of single letters with blanks between: from, to, and the letters together."""
+    def _spaced(self, w: Words, single: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of single letters with blanks between: from and to."""
         inner = np.zeros(len(single) + 1, bool)
         inner[: len(single)] = single
         breaks = np.zeros(len(single) + 1, bool)
@@ -194,7 +231,7 @@ class Restorer:
         begin = np.flatnonzero(inner[:-1] & (breaks[:-1] | ~np.concatenate([[False], inner[:-2]])))
         end = np.flatnonzero(inner[:-1] & (breaks[1:] | ~inner[1:])) + 1
         long = np.flatnonzero(end - begin >= SPACED_LETTERS)
-        return [(int(w.starts[begin[i]]), int(w.ends[end[i] - 1]), w.data[w.starts[begin[i] : end[i]]].tobytes()) for i in long if end[i] - begin[i] <= LONGEST_WORD]
+        return [(int(w.starts[begin[i]]), int(w.ends[end[i] - 1])) for i in long]
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:

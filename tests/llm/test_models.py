@@ -72,6 +72,27 @@ def test_viterbi_takes_the_best_reading(scorer):
         assert toxicity.decode(word, scorer.model.log) == brute_force(word)
 
 
+def test_disguises_of_any_length_and_place_are_restored():
+    draw = random.Random(3)
+    ws = ["you", "are", "such", "a", "loser", "and", "an", "ass", "idiot", "walking", "along", "the", "river", "price"]
+    column = pa.array([" ".join(draw.choice(ws) for _ in range(4000))])
+    found = list(toxicity._trigrams([pa.RecordBatch.from_arrays([column], ["text"])]))[0]
+    restorer = toxicity.Restorer(toxicity.CharacterModel(*(found.column(i).to_numpy() for i in (0, 1))))
+    sentence = "you are such an idiot and an idiot and you are the loser walking along the river"
+    spaced = " ".join(sentence.replace(" ", ""))
+    assert len(spaced) > 2 * 60
+    wanted = {
+        "l053r": "loser", "a55": "ass", "a$$": "ass", "(l0$3r!)": "(loser!)", "l--o--s---e-r": "loser", "1d10+": "idiot", "pric€": "price",
+        "lo" + "s" * 60 + "er": "loser", "i" * 20 + "d" * 10 + "i" * 10 + "o" * 10 + "t" * 10: "idiot", "loser!": "loser!", "(loser": "(loser", "-loser-": "-loser-",
+        spaced: sentence, "   ".join(" ".join(x) for x in sentence.split()): sentence, ".".join(sentence.replace(" ", "")): sentence.replace(" ", "."), "walking-along": "walking-along",
+    }
+    wanted |= {" ".join([spaced] * 300): " ".join([sentence] * 300)}
+    for given, text in wanted.items():
+        data, offsets = restorer.restore(*flat(pa.array(["x", given, "the"])))
+        got = data[offsets[1] : offsets[2]].tobytes().decode()
+        assert (got.split(".") if "." in given else got) == (text.split(".") if "." in given else text)
+
+
 def test_toxicity_scores(spark, scorer):
     rows = [*brute.awkward(), (90, "what an idiot"), (91, "what an 1d1ot"), (92, "green house by the river")]
     found = toxicity.score(brute.frame(spark, rows), scorer).collect()
