@@ -8,9 +8,9 @@ for it, and has its smoothed share of the bucket's learning tokens:
     P(word | history) = P(class | state) P(entry | class, state) [ (c + 1/2) / (N_b + (V_b + 1) / 2) ]
 
 State is a gated recurrent unit's, carried from window to window through a whole document and
-set to zero at its start.  Learning is truncated backpropagation in numpy inside tasks: each
-trainer works through its own documents, a share of all that grows with them, and the trainers'
-parameters are averaged by Spark after each round.  Output biases start at the log shares of
+set to zero at its start.  Learning is truncated backpropagation in numpy inside tasks over every
+learning document: each trainer works through its own ones, dealt by a hash of doc_id and text,
+in one of the rounds, and the trainers' parameters are averaged by Spark after each round.  Output biases start at the log shares of
 the counts, so learning starts from the unigram model.
 
 Scoring looks counts up in two tiers: the `TABLE_ENTRIES` most frequent words are broadcast,
@@ -31,8 +31,10 @@ TABLE_ENTRIES = 1 << 19
 CLASSES, PER_CLASS, BUCKETS, HIDDEN = 64, 32, 256, 16
 ENTRIES = CLASSES * PER_CLASS
 WINDOW, LANES, SCORE_BYTES = 32, 512, 4 << 20
-#: One learning document in so many trains the recurrent weights; documents a trainer gets; rounds of averaging.
-TRAIN_ONE_IN, TRAINER_DOCS, ROUNDS, TRAIN_LANES, RATE = 16, 400, 2, 24, 0.08
+#: One learning document in so many trains the recurrent weights (1: all); documents a trainer gets; rounds of averaging.
+TRAIN_ONE_IN, TRAINER_DOCS, ROUNDS, TRAIN_LANES, RATE = 1, 400, 2, 24, 0.08
+#: Pieces of the weights, each averaged as a whole.
+PIECES = 1024
 END = U64(0x656E64)
 
 
@@ -174,53 +176,68 @@ class GatedModel:
             grads["cb"] += soft.sum(0)
             back = soft @ p["c"].T
         order = np.argsort(kind, kind="stable")
+        if grads is not None:  # windows are small: all classes in one go
+            kind, x = kind[order], states[order]
+            weights = p["o"].reshape(CLASSES, PER_CLASS, -1)[kind]
+            logits = (weights @ x[:, :, None])[:, :, 0] + p["ob"].reshape(CLASSES, PER_CLASS)[kind]
+            logits -= logits.max(1, keepdims=True)
+            soft = np.exp(logits)
+            sums = soft.sum(1)
+            at = targets[order] - kind * PER_CLASS
+            out[order] += logits[every, at] - np.log(sums)
+            soft /= sums[:, None]
+            soft[every, at] -= 1
+            edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+            ones = np.ones(len(kind), soft.dtype)
+            for k in range(CLASSES):
+                mine, block = slice(edges[k], edges[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
+                if edges[k] < edges[k + 1]:
+                    grads["o"][block] += soft[mine].T @ x[mine]
+                    grads["ob"][block] += ones[mine] @ soft[mine]
+            back[order] += (soft[:, None, :] @ weights)[:, 0]
+            return out, back
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(edges)):
             mine = order[edges[k] : edges[k + 1]]
             block = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            x = states[mine]
-            logits = x @ p["o"][block].T + p["ob"][block]
+            logits = states[mine] @ p["o"][block].T + p["ob"][block]
             logits -= logits.max(1, keepdims=True)
-            soft = np.exp(logits)
-            sums = soft.sum(1)
             at = targets[mine] - k * PER_CLASS
-            out[mine] += logits[np.arange(len(mine)), at] - np.log(sums)
-            if grads is not None:
-                soft /= sums[:, None]
-                soft[np.arange(len(mine)), at] -= 1
-                grads["o"][block] += soft.T @ x
-                grads["ob"][block] += soft.sum(0)
-                back[mine] += soft @ p["o"][block]
+            out[mine] += logits[np.arange(len(mine)), at] - np.log(np.exp(logits).sum(1))
         return out, back
 
     def learn_window(self, inputs, targets, resets, live, h, squares) -> np.ndarray:
         """One step of AdaGrad on a window; the state goes on, the gradient stops at its start."""
         n = HIDDEN
         states, last, trail = self.forward(inputs, resets, h, keep=True)
-        grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
+        grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k not in "xw"}
         chosen = live.ravel()
         back = np.zeros((states.shape[0] * states.shape[1], n), np.float32)
         back[chosen] = self.outputs(states.reshape(-1, n)[chosen], targets.ravel()[chosen], grads)[1]
         back = back.reshape(states.shape)
         dh = np.zeros_like(h)
-        d_gates = np.empty((*inputs.shape, 3 * n), np.float32)
+        d_gates, d_sums = np.empty((2, *inputs.shape, 3 * n), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, s, new = trail[t]
             dh = dh + back[t]
             dn = dh * (1 - z) * (1 - new * new)
             dz = dh * (before - new) * z * (1 - z)
             dr = dn * s * r * (1 - r)
-            d_gates[t] = np.concatenate([dz, dr, dn], 1)
-            ds = np.concatenate([dz, dr, dn * r], 1)
-            grads["w"] += before.T @ ds
+            d_gates[t, :, :n], d_gates[t, :, n : 2 * n], d_gates[t, :, 2 * n :] = dz, dr, dn
+            ds = d_sums[t]
+            ds[:, : 2 * n], ds[:, 2 * n :] = d_gates[t, :, : 2 * n], dn * r
             dh = (dh * z + ds @ self.p["w"].T) * ~resets[t][:, None]
-        np.add.at(grads["x"], inputs.ravel(), d_gates.reshape(-1, 3 * n))
+        grads["w"] = np.concatenate([x[0] for x in trail]).T @ d_sums.reshape(-1, 3 * n)
+        entries, place = np.unique(inputs, return_inverse=True)
+        grads["x"] = np.zeros((len(entries), 3 * n), np.float32)
+        np.add.at(grads["x"], place.ravel(), d_gates.reshape(-1, 3 * n))
         tokens = max(1, int(chosen.sum()))
         for k, g in grads.items():
+            rows = entries if k == "x" else slice(None)  # the others' gradient is zero
             g *= 1 / tokens**0.5
             np.clip(g, -1, 1, out=g)
-            squares[k] += g * g
-            self.p[k] -= RATE * g / np.sqrt(squares[k] + 1e-3)
+            squares[k][rows] += g * g
+            self.p[k][rows] -= RATE * g / np.sqrt(squares[k][rows] + 1e-3)
         return last
 
 
@@ -264,7 +281,7 @@ def _sequence(entries: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndar
 
 
 def _train(batches, vocabulary: Vocabulary, vector: np.ndarray):
-    """The weights after this trainer's documents, as rows of position and value, and how many words they had."""
+    """The weights after this trainer's documents in pieces, and how many words they had."""
     model = GatedModel(vocabulary.mass).load(vector)
     squares = {k: np.full(s, 0.02, np.float32) for k, s in GatedModel.SHAPES.items()}
     seen = 0
@@ -278,12 +295,25 @@ def _train(batches, vocabulary: Vocabulary, vector: np.ndarray):
             h = model.learn_window(inputs[place], targets[place], start[place] & live, live, h[: place.shape[1]], squares)
         seen += len(targets)
     if seen:
-        values = model.vector()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values * np.float64(seen)), pa.array(np.full(len(values), float(seen)))], ["i", "value", "weight"])
+        pieces = [x.astype(np.float32).tobytes() for x in np.array_split(model.vector(), PIECES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(pieces, pa.binary()), pa.array(np.full(PIECES, float(seen)))], ["i", "piece", "weight"])
+
+
+def _averaged(batches):
+    """The weighted mean of each piece that this task has."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for i, piece, weight in zip(*(batch.column(k).to_pylist() for k in ("i", "piece", "weight")), strict=True):
+            held = sums.setdefault(i, [0.0, 0.0])
+            held[0] = held[0] + np.frombuffer(piece, np.float32) * np.float64(weight)
+            held[1] += weight
+    if sums:
+        means = [(total / weight).tobytes() for total, weight in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary())], ["i", "mean"])
 
 
 def learn(docs: DataFrame, table_entries: int = TABLE_ENTRIES) -> tuple[DataFrame, Vocabulary, np.ndarray]:
-    """From the texts of docs: all counts (h, bucket, c), the vocabulary and the recurrent weights."""
+    """From docs (doc_id, text): all counts (h, bucket, c), the vocabulary and the recurrent weights."""
     texts = docs.select("text")
     counts = checkpoint(texts.mapInArrow(_counted, "h long, bucket int, c long").groupBy("h").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -297,16 +327,16 @@ def learn(docs: DataFrame, table_entries: int = TABLE_ENTRIES) -> tuple[DataFram
     vocabulary = Vocabulary(top, sums, n, v)
     vector = GatedModel(vocabulary.mass).vector()
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    chance = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)), F.lit(TRAIN_ONE_IN * ROUNDS))
+    dealt_by = F.xxhash64("doc_id", "text", F.lit(5))
+    chance = F.pmod(dealt_by, F.lit(TRAIN_ONE_IN * ROUNDS))
     trainers = max(2, -(-docs.count() // (TRAIN_ONE_IN * ROUNDS * TRAINER_DOCS)))
     for i in range(ROUNDS):
         sent = docs.sparkSession.sparkContext.broadcast(vector)
-        dealt = texts.filter(chance == i).repartition(trainers, F.xxhash64("text"))
-        rows = dealt.mapInArrow(lambda b, sent=sent: _train(b, held.value, sent.value), "i int, value double, weight double")
-        mean = rows.groupBy("i").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
-        if len(mean):
-            vector = vector.copy()
-            vector[mean.i.to_numpy()] = mean.value.to_numpy()
+        dealt = docs.filter(chance == i).select("text", dealt_by.alias("key")).repartition(trainers, "key").select("text")
+        rows = dealt.mapInArrow(lambda b, sent=sent: _train(b, held.value, sent.value), "i int, piece binary, weight double")
+        means = dict(rows.repartition("i").mapInArrow(_averaged, "i int, mean binary").toPandas().itertuples(index=False, name=None))
+        if means:
+            vector = np.concatenate([np.frombuffer(means[k], np.float64) for k in range(PIECES)])
     return counts, vocabulary, vector
 
 

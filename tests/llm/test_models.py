@@ -307,6 +307,27 @@ def test_model_beats_counts_and_needs_no_documents(spark, docs, monkeypatch):
     assert recurrent_lm.score(docs.filter("false"), *nothing).count() == 0
 
 
+def test_every_text_trains_once_and_copies_spread(spark, docs, tmp_path, monkeypatch):
+    def noted(batches, vocabulary, vector):
+        texts = [x or "" for b in batches for x in b.column("text").to_pylist()]
+        (tmp_path / f"{random.SystemRandom().getrandbits(60)}").write_text("\x00".join(texts + [""]))
+        yield from ()
+
+    copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a copied text").alias("text"))
+    learned = docs.select("doc_id", "text").unionByName(copies)
+    monkeypatch.setattr(recurrent_lm, "_train", noted)
+    recurrent_lm.learn(learned)
+    tasks = [p.read_text().split("\x00")[:-1] for p in tmp_path.iterdir()]
+    assert Counter(t for task in tasks for t in task) == Counter(r.text or "" for r in learned.collect())
+    assert max(task.count("a copied text") for task in tasks) < 200
+
+
+def test_model_beats_counts_at_production_parameters(spark, docs):
+    assert recurrent_lm.TRAIN_ONE_IN == 1
+    found = recurrent_lm.score(docs.filter(recurrent_lm.held_out()), *recurrent_lm.learn(docs.filter(~recurrent_lm.held_out()))).agg(F.sum("score"), F.sum("base_score")).first()
+    assert found[0] > found[1]
+
+
 def test_probabilities_add_up():
     mass = np.arange(recurrent_lm.ENTRIES, 0, -1.0)
     model = recurrent_lm.GatedModel(mass)
