@@ -7,6 +7,7 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group (three words, a similarity of 0.9); texts without words are alone."""
-    groups = jaccard_join.jaccard_components(docs)
+    """Keeps the document with the least doc_id of each group (five words, a similarity of 0.8); texts without words are alone."""
+    groups = jaccard_join.jaccard_components(docs, 8, 10, partial(jaccard_join.shingle_sets, size=5))
     others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 

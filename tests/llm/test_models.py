@@ -365,6 +365,13 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in run} == set(kept[4])
 
 
+def test_pipeline_takes_out_copies_with_distant_edits_or_text_appended(spark):
+    ws = [f"word{i}" for i in range(100)]
+    edited = [*ws[:30], "other", *ws[31:70], "another", *ws[71:]]
+    rows = [(1, " ".join(ws)), (2, " ".join(edited)), (3, " ".join(ws + [f"more{i}" for i in range(15)])), (4, " ".join(ws + [f"tail{i}" for i in range(60)]))]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, brute.frame(spark, rows), "").collect()} == {1, 4}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, empty):
     rows = [] if empty else [*brute.awkward(), (40, "plain words here"), (41, None)]
