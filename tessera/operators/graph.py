@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
@@ -21,14 +21,14 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target:
     Rounds join the frontier alone; what was seen is taken out, so cycles end."""
     step = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct()
     frontier = starts.select(F.col(node).alias("start"), F.col(node)).distinct().withColumn("depth", F.lit(0))
-    seen = _kept(frontier)
+    seen = kept(frontier)
     frontier = seen
     for depth in range(1, most_steps + 1):
         found = frontier.join(step, F.col(node) == F.col("__from")).select("start", F.col("__to").alias(node)).distinct()
-        frontier = _kept(found.join(seen, ["start", node], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = kept(found.join(seen, ["start", node], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _kept(seen.unionByName(frontier))
+        seen = kept(seen.unionByName(frontier))
     return seen
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 MISSING = 1_000_000_000
 
 
@@ -20,14 +22,23 @@ def lanes(rows: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
     return rows.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("l")).select(key, "l.lane_order", "l.lane")
 
 
+def row_numbers(rows: DataFrame, groups: list[str], order: list[Column], added: str) -> DataFrame:
+    """Numbers the rows of each group from 1 in order. Rows are dealt into ranges and numbered in each; the counts of the
+    ranges before give where its numbers start, so no task sees a whole group."""
+    dealt = kept(rows.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*groups, "__range").agg(F.count("*").alias("__n"))
+    starts = counts.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__range") == F.col("__at")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "__range").orderBy(*order))
+    return dealt.withColumn("__own", own).join(starts, same).select(*rows.columns, (F.col("__before") + F.col("__own")).alias(added))
+
+
 def numbered(rows: DataFrame, kind: str, order: list[Column]) -> DataFrame:
-    """Numbers all rows from 1, kind after kind, in order within each: counts by kind give where its numbers start,
-    so only the table of kinds is sorted in one task."""
-    sizes = rows.groupBy(kind).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(kind).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(kind, before.alias("__before"))
-    own = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return rows.withColumn("__own", own).join(starts, kind).withColumn("number", F.col("__before") + F.col("__own")).drop("__own", "__before")
+    """Numbers all rows from 1, kind after kind, in order within each."""
+    return row_numbers(rows, [], [F.col(kind), *order], "number")
 
 
 def placed(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .project import row_numbers
+
 
 def labels(value: Column, separator: str = " | ") -> Column:
     """An aggregate: distinct non-empty values, sorted and joined."""
@@ -25,6 +27,5 @@ def conditional_counts(rows: DataFrame, keys: list[str], conditions: dict[str, C
 
 def shards(rows: DataFrame, groups: list[str], order: list[Column], size: int) -> DataFrame:
     """Adds shard (from 0): `size` rows each, in order within a group."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("shard", F.floor((F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1) / size).cast("long"))
+    numbered = row_numbers(rows, groups, order, "__number")
+    return numbered.withColumn("shard", F.floor((F.col("__number") - 1) / size).cast("long")).drop("__number")

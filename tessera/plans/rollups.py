@@ -95,8 +95,9 @@ DUPLICATE_ORDER = "SELECT l_orderkey, l_linenumber, count(*) AS n_claims FROM li
 
 def shard_manifest(spark, d):
     """Shards of 50 documents of a source, and a digest of each."""
-    rows = rollup.shards(table(spark, d, "documents"), ["source"], [F.col("doc_id")], 50)
-    return rows.groupBy("source", "shard").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), keys.file_set_digest(F.col("doc_id").cast("string"), F.length("text"), F.sha2("text", 256)).alias("digest"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    rows = rollup.shards(docs, ["source"], [F.col("doc_id")], 50)
+    return rows.groupBy("source", "shard").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), keys.file_set_digest(F.col("doc_id").cast("string"), F.col("size"), F.col("sha")).alias("digest"))
 
 
 SHARD_MANIFEST = """
@@ -108,7 +109,7 @@ SELECT source, shard, count(*) AS n_rows, min(doc_id) AS first_id, max(doc_id) A
 
 def fileset_digest(spark, d):
     docs = table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n_files"), F.sum(F.octet_length("text")).alias("n_bytes"), keys.file_set_digest(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.octet_length("text"), F.sha2("text", 256)).alias("digest"))
+    return keys.file_set_digests(docs, "source", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.octet_length("text"), F.sha2("text", 256))
 
 
 FILESET_DIGEST = """

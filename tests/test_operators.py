@@ -163,3 +163,25 @@ def test_numbers_and_unique_names(spark):
     assert {r.id: r.place for r in project.placed(rows, ["kind"], [F.desc("id")]).collect()} == {9: 1, 1: 2, 5: 1, 3: 2}
     assert {r.id: (r.identity, r.basis) for r in identity.first_unique(rows, "id", ["name"]).collect()} == {5: ("5", "id"), 3: ("3", "id"), 9: ("a", "name"), 1: ("1", "id")}
     assert project.numbered(rows.filter("false"), "kind", [F.col("id")]).count() == 0
+
+
+def test_numbers_and_digests_hold_no_whole_group(spark, monkeypatch):
+    from tessera.functions import keys
+    from tessera.operators import rollup
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 > 0, "cold").alias("g"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("sha")).repartition(7)
+    made = []
+    monkeypatch.setattr(project, "kept", lambda df: made.append(graph.kept(df)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that few rows have several ranges
+    dealt = rollup.shards(rows, ["g"], [F.col("id")], 10)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        wanted.setdefault(r.g, []).append(r.id)
+    assert {(r.g, r.id, r.shard) for r in dealt.collect()} == {(g, i, k // 10) for g, ids in wanted.items() for k, i in enumerate(ids)}
+    assert made[0].filter("g = 'hot'").select("__range").distinct().count() > 1
+    args = (F.col("id").cast("string"), F.length("sha"), F.col("sha"))
+    found = keys.file_set_digests(rows, "g", *args)
+    assert "collect_list" not in rows.sparkSession._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    once = rows.groupBy("g").agg(F.count("*").alias("n_files"), F.sum(F.length("sha")).alias("n_bytes"), keys.file_set_digest(*args).alias("digest"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in once.collect()}
