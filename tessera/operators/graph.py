@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -15,21 +16,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target: str = "dst", node: str = "node", most_steps: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target: str = "dst", node: str = "node", most_steps: int | None = None) -> DataFrame:
     """start, node, depth of everything the starts reach, themselves at depth 0; each node once, by its shortest way.
 
-    Rounds join the frontier alone; what was seen is taken out, so cycles end."""
+    Rounds join the frontier alone; what was seen is taken out, so cycles end. An error if most_steps do not reach all."""
     step = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct()
     frontier = starts.select(F.col(node).alias("start"), F.col(node)).distinct().withColumn("depth", F.lit(0))
     seen = kept(frontier)
     frontier = seen
-    for depth in range(1, most_steps + 1):
+    for depth in itertools.count(1):
         found = frontier.join(step, F.col(node) == F.col("__from")).select("start", F.col("__to").alias(node)).distinct()
         frontier = kept(found.join(seen, ["start", node], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
+        if most_steps is not None and depth > most_steps:
+            raise ValueError(f"more than {most_steps} steps from the starts")
         seen = kept(seen.unionByName(frontier))
-    return seen
 
 
 def divide(pairs: DataFrame, member: str, group: str, required: DataFrame, of: str) -> DataFrame:

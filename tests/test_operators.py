@@ -165,6 +165,14 @@ def test_numbers_and_unique_names(spark):
     assert project.numbered(rows.filter("false"), "kind", [F.col("id")]).count() == 0
 
 
+def test_reachable_never_stops_short(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "src string, dst string")
+    starts = spark.createDataFrame([("n0",)], "node string")
+    assert {(r.node, r.depth) for r in graph.reachable(edges, starts, most_steps=4).collect()} == {(f"n{i}", i) for i in range(5)}
+    with pytest.raises(ValueError):
+        graph.reachable(edges, starts, most_steps=3)
+
+
 def test_numbers_and_digests_hold_no_whole_group(spark, monkeypatch):
     from tessera.functions import keys
     from tessera.operators import rollup
