@@ -10,8 +10,10 @@ for it, and has its smoothed share of the bucket's learning tokens:
 State is a gated recurrent unit's, carried from window to window through a whole document and
 set to zero at its start.  Learning is truncated backpropagation in numpy inside tasks over every
 learning document: each trainer works through its own ones, dealt by a hash of doc_id and text,
-in one of the rounds, and the trainers' parameters are averaged by Spark after each round.  Output biases start at the log shares of
-the counts, so learning starts from the unigram model.
+in one of the rounds, and the trainers' parameters are averaged by Spark after each round.  While
+it learns, the state goes on through `PIECE` tokens of a document at most, so that a long one does
+not leave the other lanes idle.  Output biases start at the log shares of the counts, so learning
+starts from the unigram model.
 
 Scoring looks counts up in two tiers: the `TABLE_ENTRIES` most frequent words are broadcast,
 any other word of a text is joined with all counts.
@@ -28,13 +30,13 @@ from .buffers import BLANKS, U64, Words, flat, slices, words
 from .lineage import checkpoint
 
 TABLE_ENTRIES = 1 << 19
-CLASSES, PER_CLASS, BUCKETS, HIDDEN = 64, 32, 256, 16
+CLASSES, PER_CLASS, BUCKETS, HIDDEN = 32, 64, 256, 16
 ENTRIES = CLASSES * PER_CLASS
-WINDOW, LANES, SCORE_BYTES = 32, 512, 4 << 20
-#: One learning document in so many trains the recurrent weights (1: all); documents a trainer gets; rounds of averaging.
-TRAIN_ONE_IN, TRAINER_DOCS, ROUNDS, TRAIN_LANES, RATE = 1, 400, 2, 24, 0.08
-#: Pieces of the weights, each averaged as a whole.
-PIECES = 1024
+WINDOW, LANES, COUNT_BYTES, SCORE_BYTES, OUTPUT_ROWS = 32, 512, 4 << 20, 8 << 20, 1 << 15
+#: Documents a trainer gets; rounds of averaging; bytes of text that its lanes share; tokens that a state goes on for.
+TRAINER_DOCS, ROUNDS, TRAIN_LANES, TRAIN_BYTES, PIECE, RATE = 4000, 2, 128, 4 << 20, 1024, 0.08
+#: Blocks of the weights, each averaged as a whole.
+BLOCKS = 64
 END = U64(0x656E64)
 
 
@@ -59,7 +61,7 @@ def _counted(batches):
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         kept[:] = [(hashes[first], bucket[first], np.add.reduceat(counts, first))]
 
-    for batch in slices(batches, "text", SCORE_BYTES):
+    for batch in slices(batches, "text", COUNT_BYTES):
         _, hashes, bucket = _tokens(batch.column("text"))
         values, first, counts = np.unique(hashes, return_index=True, return_counts=True)
         kept.append((values, bucket[first], counts))
@@ -112,14 +114,10 @@ class Vocabulary:
         return np.where(rare, self.bucket_entry[bucket], entry), counts, rare
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
-
-
 class GatedModel:
-    """The recurrent weights: input (entry -> gates), state, class and entry outputs."""
+    """The recurrent weights: of inputs (x) and states (w) to the gates update (z), reset (r) and to the new state (n); class and entry outputs."""
 
-    SHAPES = {"x": (ENTRIES, 3 * HIDDEN), "w": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (ENTRIES, HIDDEN), "ob": (ENTRIES,)}
+    SHAPES = {f"x{k}": (ENTRIES, HIDDEN) for k in "zrn"} | {f"w{k}": (HIDDEN, HIDDEN) for k in "zrn"} | {"c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (ENTRIES, HIDDEN), "ob": (ENTRIES,)}
 
     def __init__(self, mass: np.ndarray):
         draw = np.random.default_rng(7)
@@ -143,31 +141,47 @@ class GatedModel:
 
     def forward(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step of a window (steps by lanes), and what backward needs."""
-        n, trail = HIDDEN, []
-        states = np.empty((*inputs.shape, n), np.float32)
-        gates = self.p["x"][inputs]
+        p, shape = self.p, (*inputs.shape, HIDDEN)
+        given = {k: np.take(p[f"x{k}"], inputs.ravel(), axis=0).reshape(shape) for k in "zrn"}
+        states, any_reset = np.empty(shape, np.float32), resets.any(1).tolist()
+        trail = {k: np.empty(shape, np.float32) for k in ("before", "z", "r", "s", "new")} if keep else {}
         for t in range(len(inputs)):
-            h = h * ~resets[t][:, None]
-            g, s = gates[t], h @ self.p["w"]
-            zr = sigmoid(g[:, : 2 * n] + s[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(g[:, 2 * n :] + r * s[:, 2 * n :])
+            if any_reset[t]:
+                h = np.where(resets[t][:, None], np.float32(0), h)
+            z, r, s = h @ p["wz"], h @ p["wr"], h @ p["wn"]
+            for gate, k in ((z, "z"), (r, "r")):  # the logistic function
+                gate += given[k][t]
+                gate *= 0.5
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= 0.5
+            new = r * s
+            new += given["n"][t]
+            np.tanh(new, out=new)
             if keep:
-                trail.append((h, z, r, s[:, 2 * n :], new))
-            h = new + z * (h - new)
-            states[t] = h
-        return states, h, trail
+                for k, x in zip(trail, (h, z, r, s, new), strict=True):
+                    trail[k][t] = x
+            h = np.subtract(h, new, out=states[t])
+            h *= z
+            h += new
+        return states, h.copy(), trail
+
+    @staticmethod
+    def _exp(logits: np.ndarray, large: bool) -> np.ndarray:
+        """exp of logits in place, less the largest of each row where they could be too large."""
+        if large:
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits, out=logits)
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target from its state; with grads, adds to them and gives d loss / d state."""
-        p = self.p
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        soft = np.exp(logits)
-        sums = soft.sum(1)
+        p, every = self.p, np.arange(len(targets))
         kind = targets // PER_CLASS
-        every = np.arange(len(targets))
-        out = logits[every, kind] - np.log(sums)
+        # states are within 1
+        large = max(np.abs(p["cb"]).max() + np.abs(p["c"]).sum(0).max(), np.abs(p["ob"]).max() + np.abs(p["o"]).sum(1).max()) > 60
+        soft = self._exp(states @ p["c"] + p["cb"], large)
+        sums = soft.sum(1)
+        out = np.log(soft[every, kind] / sums)
         back = None
         if grads is not None:
             soft /= sums[:, None]
@@ -175,66 +189,66 @@ class GatedModel:
             grads["c"] += states.T @ soft
             grads["cb"] += soft.sum(0)
             back = soft @ p["c"].T
-        order = np.argsort(kind, kind="stable")
-        if grads is not None:  # windows are small: all classes in one go
-            kind, x = kind[order], states[order]
-            weights = p["o"].reshape(CLASSES, PER_CLASS, -1)[kind]
-            logits = (weights @ x[:, :, None])[:, :, 0] + p["ob"].reshape(CLASSES, PER_CLASS)[kind]
-            logits -= logits.max(1, keepdims=True)
-            soft = np.exp(logits)
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        x, at = np.take(states, order, axis=0), (targets - kind * PER_CLASS)[order]
+        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        inner, inner_back = np.empty(len(x), np.float32), np.empty_like(x)
+        for k in range(CLASSES):
+            a, b = edges[k], edges[k + 1]
+            if a == b:
+                continue
+            block, rows = slice(k * PER_CLASS, (k + 1) * PER_CLASS), every[: b - a]
+            weights, mine, own = p["o"][block], x[a:b], at[a:b]
+            soft = self._exp(mine @ weights.T + p["ob"][block], large)
             sums = soft.sum(1)
-            at = targets[order] - kind * PER_CLASS
-            out[order] += logits[every, at] - np.log(sums)
-            soft /= sums[:, None]
-            soft[every, at] -= 1
-            edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-            ones = np.ones(len(kind), soft.dtype)
-            for k in range(CLASSES):
-                mine, block = slice(edges[k], edges[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-                if edges[k] < edges[k + 1]:
-                    grads["o"][block] += soft[mine].T @ x[mine]
-                    grads["ob"][block] += ones[mine] @ soft[mine]
-            back[order] += (soft[:, None, :] @ weights)[:, 0]
-            return out, back
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[k] : edges[k + 1]]
-            block = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            logits = states[mine] @ p["o"][block].T + p["ob"][block]
-            logits -= logits.max(1, keepdims=True)
-            at = targets[mine] - k * PER_CLASS
-            out[mine] += logits[np.arange(len(mine)), at] - np.log(np.exp(logits).sum(1))
+            inner[a:b] = soft[rows, own] / sums
+            if grads is not None:
+                soft /= sums[:, None]
+                soft[rows, own] -= 1
+                grads["o"][block] += soft.T @ mine
+                grads["ob"][block] += soft.sum(0)
+                inner_back[a:b] = soft @ weights
+        out[order] += np.log(inner)
+        if grads is not None:
+            back[order] += inner_back
         return out, back
 
     def learn_window(self, inputs, targets, resets, live, h, squares) -> np.ndarray:
         """One step of AdaGrad on a window; the state goes on, the gradient stops at its start."""
         n = HIDDEN
         states, last, trail = self.forward(inputs, resets, h, keep=True)
-        grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items() if k not in "xw"}
-        chosen = live.ravel()
-        back = np.zeros((states.shape[0] * states.shape[1], n), np.float32)
-        back[chosen] = self.outputs(states.reshape(-1, n)[chosen], targets.ravel()[chosen], grads)[1]
+        grads = {k: np.zeros(self.SHAPES[k], np.float32) for k in ("c", "cb", "o", "ob")}
+        chosen = np.flatnonzero(live)
+        back = np.zeros((live.size, n), np.float32)
+        back[chosen] = self.outputs(np.take(states.reshape(-1, n), chosen, axis=0), targets.ravel()[chosen], grads)[1]
         back = back.reshape(states.shape)
-        dh = np.zeros_like(h)
-        d_gates, d_sums = np.empty((2, *inputs.shape, 3 * n), np.float32)
+        before, z, r, s, new = trail.values()
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), s * r * (1 - r)
+        going_on = np.where(resets[:, :, None], np.float32(0), np.float32(1)) if resets.any() else None
+        d = {k: np.empty_like(states) for k in "zrns"}  # of the gates' sums, the new state's, and the state's part in that
+        dh, wz, wr, wn = np.zeros_like(h), *(np.ascontiguousarray(self.p[f"w{k}"].T) for k in "zrn")
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, s, new = trail[t]
-            dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dn * s * r * (1 - r)
-            d_gates[t, :, :n], d_gates[t, :, n : 2 * n], d_gates[t, :, 2 * n :] = dz, dr, dn
-            ds = d_sums[t]
-            ds[:, : 2 * n], ds[:, 2 * n :] = d_gates[t, :, : 2 * n], dn * r
-            dh = (dh * z + ds @ self.p["w"].T) * ~resets[t][:, None]
-        grads["w"] = np.concatenate([x[0] for x in trail]).T @ d_sums.reshape(-1, 3 * n)
-        entries, place = np.unique(inputs, return_inverse=True)
-        grads["x"] = np.zeros((len(entries), 3 * n), np.float32)
-        np.add.at(grads["x"], place.ravel(), d_gates.reshape(-1, 3 * n))
-        tokens = max(1, int(chosen.sum()))
+            dh += back[t]
+            dn = np.multiply(dh, to_new[t], out=d["n"][t])
+            dz = np.multiply(dh, to_z[t], out=d["z"][t])
+            dr = np.multiply(dn, to_r[t], out=d["r"][t])
+            ds = np.multiply(dn, r[t], out=d["s"][t])
+            dh *= z[t]
+            dh += dz @ wz
+            dh += dr @ wr
+            dh += ds @ wn
+            if going_on is not None:
+                dh *= going_on[t]
+        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        given = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], given[1:] != given[:-1]]))
+        entries, at = given[first], before.reshape(-1, n).T
+        for k in "zrn":
+            grads[f"w{k}"] = at @ d["s" if k == "n" else k].reshape(-1, n)
+            grads[f"x{k}"] = np.add.reduceat(np.take(d[k].reshape(-1, n), order, axis=0), first, axis=0)
         for k, g in grads.items():
-            rows = entries if k == "x" else slice(None)  # the others' gradient is zero
-            g *= 1 / tokens**0.5
+            rows = entries if k[0] == "x" else slice(None)  # the others' gradient is zero
+            g *= 1 / max(1, len(chosen)) ** 0.5
             np.clip(g, -1, 1, out=g)
             squares[k][rows] += g * g
             self.p[k][rows] -= RATE * g / np.sqrt(squares[k][rows] + 1e-3)
@@ -280,32 +294,42 @@ def _sequence(entries: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndar
     return targets, inputs, start
 
 
+def _cut(lengths: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of the pieces, in order, that have `most` each but the last of each length."""
+    many = -(-lengths // most)
+    out = np.full(int(many.sum()), most, np.int64)
+    out[np.cumsum(many) - 1] = lengths - (many - 1) * most
+    return out
+
+
 def _train(batches, vocabulary: Vocabulary, vector: np.ndarray):
-    """The weights after this trainer's documents in pieces, and how many words they had."""
+    """The weights after this trainer's documents in blocks, and how many tokens it saw."""
     model = GatedModel(vocabulary.mass).load(vector)
     squares = {k: np.full(s, 0.02, np.float32) for k, s in GatedModel.SHAPES.items()}
     seen = 0
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TRAIN_BYTES):
         w, hashes, bucket = _tokens(batch.column("text"))
         entries = vocabulary.look_up(hashes, bucket)[0]
         targets, inputs, start = _sequence(entries, w.first, vocabulary.end)
-        lanes = Lanes(w.counts + 1, TRAIN_LANES)
+        pieces = _cut(w.counts + 1, PIECE)
+        start[np.cumsum(pieces) - pieces] = True
+        lanes = Lanes(pieces, TRAIN_LANES)
         h = np.zeros((len(lanes.sizes), HIDDEN), np.float32)
         for place, live in lanes.windows(WINDOW):
             h = model.learn_window(inputs[place], targets[place], start[place] & live, live, h[: place.shape[1]], squares)
         seen += len(targets)
     if seen:
-        pieces = [x.astype(np.float32).tobytes() for x in np.array_split(model.vector(), PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), pa.array(pieces, pa.binary()), pa.array(np.full(PIECES, float(seen)))], ["i", "piece", "weight"])
+        blocks = [x.astype(np.float32).tobytes() for x in np.array_split(model.vector(), BLOCKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(blocks, pa.binary()), pa.array(np.full(BLOCKS, float(seen)))], ["i", "block", "weight"])
 
 
 def _averaged(batches):
-    """The weighted mean of each piece that this task has."""
+    """The weighted mean of each block that this task has."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for i, piece, weight in zip(*(batch.column(k).to_pylist() for k in ("i", "piece", "weight")), strict=True):
+        for i, block, weight in zip(*(batch.column(k).to_pylist() for k in ("i", "block", "weight")), strict=True):
             held = sums.setdefault(i, [0.0, 0.0])
-            held[0] = held[0] + np.frombuffer(piece, np.float32) * np.float64(weight)
+            held[0] = held[0] + np.frombuffer(block, np.float32) * np.float64(weight)
             held[1] += weight
     if sums:
         means = [(total / weight).tobytes() for total, weight in sums.values()]
@@ -328,15 +352,15 @@ def learn(docs: DataFrame, table_entries: int = TABLE_ENTRIES) -> tuple[DataFram
     vector = GatedModel(vocabulary.mass).vector()
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     dealt_by = F.xxhash64("doc_id", "text", F.lit(5))
-    chance = F.pmod(dealt_by, F.lit(TRAIN_ONE_IN * ROUNDS))
-    trainers = max(2, -(-docs.count() // (TRAIN_ONE_IN * ROUNDS * TRAINER_DOCS)))
+    trainers = max(2, -(-vocabulary.end_count // (ROUNDS * TRAINER_DOCS)))  # each document has one end
     for i in range(ROUNDS):
         sent = docs.sparkSession.sparkContext.broadcast(vector)
-        dealt = docs.filter(chance == i).select("text", dealt_by.alias("key")).repartition(trainers, "key").select("text")
-        rows = dealt.mapInArrow(lambda b, sent=sent: _train(b, held.value, sent.value), "i int, piece binary, weight double")
+        # so many trainers, each with one set of weights to send, however many partitions a shuffle has
+        dealt = docs.filter(F.pmod(dealt_by, F.lit(ROUNDS)) == i).select("text", dealt_by.alias("key")).repartition(trainers, "key").select("text").coalesce(trainers)
+        rows = dealt.mapInArrow(lambda b, sent=sent: _train(b, held.value, sent.value), "i int, block binary, weight double")
         means = dict(rows.repartition("i").mapInArrow(_averaged, "i int, mean binary").toPandas().itertuples(index=False, name=None))
         if means:
-            vector = np.concatenate([np.frombuffer(means[k], np.float64) for k in range(PIECES)])
+            vector = np.concatenate([np.frombuffer(means[k], np.float64) for k in range(BLOCKS)])
     return counts, vocabulary, vector
 
 
@@ -354,12 +378,14 @@ def _scored(batches, vocabulary: Vocabulary, vector: np.ndarray):
             return sums[first[1:]] - sums[first[:-1]]
 
         targets, inputs, start = _sequence(entries, w.first, vocabulary.end)
-        found = np.zeros(len(targets))
+        states = np.empty((len(targets), HIDDEN), np.float32)
         lanes = Lanes(w.counts + 1, LANES)
         h = np.zeros((len(lanes.sizes), HIDDEN), np.float32)
         for place, live in lanes.windows(WINDOW):
-            states, h, _ = model.forward(inputs[place], start[place] & live, h[: place.shape[1]])
-            found[place[live]] = model.outputs(states[live], targets[place[live]])[0]
+            after, h, _ = model.forward(inputs[place], start[place] & live, h[: place.shape[1]])
+            states[place[live]] = after[live]
+        parts = [model.outputs(states[i : i + OUTPUT_ROWS], targets[i : i + OUTPUT_ROWS])[0] for i in range(0, len(targets), OUTPUT_ROWS)]
+        found = np.concatenate([np.zeros(0), *parts])
         sums = np.concatenate([[0], np.cumsum(found / np.log(10))])
         stops = w.first[1:] + np.arange(1, n + 1)
         recurrent = sums[stops] - sums[stops - w.counts - 1]

@@ -249,7 +249,7 @@ def test_model_gradients():
     squares = {k: np.zeros(s) for k, s in model.SHAPES.items()}
     model.learn_window(inputs, targets, resets, np.ones((4, 3), bool), h, squares)
     moved = {k: model.p[k] - before[k] for k in before}
-    for k in ("x", "w", "c", "o", "cb", "ob"):
+    for k in recurrent_lm.GatedModel.SHAPES:
         model.p = {n: v.copy() for n, v in before.items()}
         at = np.unravel_index(np.abs(moved[k]).argmax(), moved[k].shape)
         slopes = []
@@ -297,8 +297,7 @@ def test_words_beyond_the_table_are_joined(spark, docs):
     assert all(r.base_score == pytest.approx(full[r.doc_id]) for r in found)
 
 
-def test_model_beats_counts_and_needs_no_documents(spark, docs, monkeypatch):
-    monkeypatch.setattr(recurrent_lm, "TRAIN_ONE_IN", 1)  # so few documents are hardly enough
+def test_model_beats_counts_and_needs_no_documents(spark, docs):
     learned = docs.filter(~recurrent_lm.held_out())
     found = recurrent_lm.score(docs.filter(recurrent_lm.held_out()), *recurrent_lm.learn(learned)).agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
@@ -322,10 +321,31 @@ def test_every_text_trains_once_and_copies_spread(spark, docs, tmp_path, monkeyp
     assert max(task.count("a copied text") for task in tasks) < 200
 
 
-def test_model_beats_counts_at_production_parameters(spark, docs):
-    assert recurrent_lm.TRAIN_ONE_IN == 1
-    found = recurrent_lm.score(docs.filter(recurrent_lm.held_out()), *recurrent_lm.learn(docs.filter(~recurrent_lm.held_out()))).agg(F.sum("score"), F.sum("base_score")).first()
-    assert found[0] > found[1]
+def test_scores_equal_a_step_by_step_reading(spark, docs):
+    """The score of whole documents, longer than a window and a piece too, against one token after the other."""
+    learned = docs.filter(~recurrent_lm.held_out())
+    counts, vocabulary, vector = recurrent_lm.learn(learned)
+    model, n = recurrent_lm.GatedModel(vocabulary.mass).load(vector), recurrent_lm.HIDDEN
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    chosen = [(r.doc_id, r.text or "") for r in docs.orderBy(F.length("text").desc()).limit(2).unionByName(docs.orderBy("doc_id").limit(6)).collect()]
+    count_of = {r.h: r.c for r in counts.collect()}
+    found = {r.doc_id: r.score for r in recurrent_lm.score(brute.frame(spark, chosen), counts, vocabulary, vector).collect()}
+    for doc_id, text in chosen:
+        w, hashes, bucket = recurrent_lm._tokens(pa.array([text]))
+        entries, _, rare = vocabulary.look_up(hashes, bucket)
+        state, last, total = np.zeros(n), vocabulary.end, 0.0
+        for i, entry in enumerate([*entries.tolist(), vocabulary.end]):
+            z, r = (1 / (1 + np.exp(-(p[f"x{k}"][last] + state @ p[f"w{k}"]))) for k in "zr")
+            new = np.tanh(p["xn"][last] + r * (state @ p["wn"]))
+            state = z * state + (1 - z) * new
+            kind = entry // recurrent_lm.PER_CLASS
+            inside = slice(kind * recurrent_lm.PER_CLASS, (kind + 1) * recurrent_lm.PER_CLASS)
+            a, b = np.exp(state @ p["c"] + p["cb"]), np.exp(p["o"][inside] @ state + p["ob"][inside])
+            total += math.log10(a[kind] / a.sum() * b[entry - inside.start] / b.sum())
+            if i < len(entries) and rare[i]:
+                total += math.log10(count_of.get(int(hashes[i : i + 1].view(np.int64)[0]), 0) + 0.5) - vocabulary.bucket_norm[bucket[i]]
+            last = entry
+        assert found[doc_id] == pytest.approx(total, rel=1e-4)
 
 
 def test_probabilities_add_up():
