@@ -3,17 +3,19 @@
 A text's set is its distinct 3-word shingles (as 64-bit hashes); fewer words are one shingle,
 and no words an empty set, linked with nothing.  Sets link at Jaccard >= num/den.
 
-1. Two linked sets differ in at most H shingles, H following from their size band.  Dealt
-   into H + 1 segments by hash, they agree on a whole segment, so whatever could link shares
-   a segment hash.  Each document is joined to the least document of each of its segments
-   (a star, never all pairs; a task does so for what it sees before it sends one row for each
-   segment), and the components of these stars are blocks: documents of different blocks
-   cannot link.
+1. Shingles are put in one order, from rare to frequent ones.  Sets of sizes a and b that link
+   share so many that the first n - required + 1 of each in that order have one in common, so
+   whatever could link shares a shingle of these prefixes, the rare end of its set.  Counts cover
+   all documents: buckets of texts send the codes of their shingles in ranges, and get back which
+   of them occur elsewhere too, and how often.  A shingle that occurs once links nothing.
+   Each document is joined to the least document of each prefix shingle (a star, never all
+   pairs; a bucket does so for what it sees before it sends one row for each shingle), and the
+   components of these stars are blocks: documents of different blocks cannot link.
 2. Documents with equal sets form a class; its least doc_id stands for it from here on.
 3. Only such documents in blocks send their sets, once.  In a block an inverted index of shingles
    is searched for each document: the short lists are merged with a heap that skips, the long
-   ones probed by bisection, until the required overlap is reached.  Pairs that are already
-   connected are not searched for again.
+   ones probed by bisection, until the required overlap is reached.  A document that has joined
+   a component leaves that component's postings out of what it still searches.
 4. A block of more than `block_docs` sets is cut into chunks that all hold the block's least
    document.  What is not connected to it then is searched for against all chunks.
 """
@@ -21,6 +23,7 @@ and no words an empty set, linked with nothing.  Sets link at Jaccard >= num/den
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 from .buffers import BLANKS, U64, flat, mix, slices, window_hashes, words
 from .lineage import checkpoint, components
 
-SEEDS = 4
 BLOCK_DOCS = 1500
-SEGMENTS_AT_A_TIME = 2_000_000
+#: Text of a bucket, and of what each range of codes stands for, at least so many ranges.
+BUCKET_BYTES, RANGE_BYTES, LEAST_RANGES = 2 << 20, 6 << 20, 256
 #: Weight of a probe against a merge step in DivideSkip's choice of the number of long lists.
 PROBE_WEIGHT = 0.01
 
@@ -67,49 +70,25 @@ def _sums(codes: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return low + (high << U64(32))
 
 
-def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least size of each band, and the number of segments for pairs whose smaller set is in it.
-
-    Sets link only with sets of their own band and the two beside it."""
-    starts = [1]
-    while starts[-1] <= largest:
-        starts.append(starts[-1] * den // num + 1)
-    top = np.array([s - 1 for s in starts[1:]], np.int64)
-    partner = top * den // num
-    return np.array(starts[:-1], np.int64), (top + partner) * (den - num) // (den + num) + 1
-
-
-def segment_hashes(sizes, rows, shingles, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every segment by which a row's set can be found.
-
-    A segment empty in both sets tells nothing; rows that have one are dealt again by another
-    seed, as their partner is, and only the last seed's empty segments are sent."""
-    starts, segments = size_bands(int(sizes.max(initial=1)), num, den)
-    band = np.searchsorted(starts, sizes, side="right") - 1
-    out_rows, out = [], []
-    for shift in (0, 1):
-        kind = band - shift
-        live = (kind >= 0) & (sizes > 0)
-        for seed in range(SEEDS):
-            many = np.where(live, segments[np.maximum(kind, 0)], 0)
-            base = np.cumsum(many) - many
-            chosen = live[rows]
-            r, x = rows[chosen], mix(shingles[chosen] + U64(seed * 2 + 1))
-            segment = ((x >> U64(32)) * many[r].astype(U64)) >> U64(32)
-            codes = base[r] + segment.astype(np.int64)
-            total = int(many.sum())
-            row_of = np.repeat(np.arange(len(sizes)), many)
-            place = np.arange(total) - base[row_of]
-            empty = np.bincount(codes, minlength=total) == 0
-            salt = mix(kind[row_of].astype(U64) * U64(1 << 40) + place.astype(U64) * U64(16) + U64(seed))
-            sent = np.ones(total, bool) if seed == SEEDS - 1 else ~empty
-            out_rows.append(row_of[sent])
-            out.append(mix(_sums(codes, mix(x), total) ^ salt)[sent])
-            live = np.zeros(len(sizes), bool)
-            live[row_of[empty]] = True
-            if not live.any():
-                break
-    return np.concatenate(out_rows), np.concatenate(out)
+def prefix_sizes(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of its first shingles a set must show: the least partner it can link with has num/den of its size."""
+    return sizes - required_overlap(sizes, -(-num * sizes // den), num, den) + 1
+
+
+def codes(shingles: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range (of a power of two) and 32-bit code in it; shingles of equal codes are counted together, which changes only the order."""
+    bits = ranges.bit_length() - 1
+    return (shingles >> U64(64 - bits)).astype(np.int64), ((shingles >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def levels_of(blobs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each array of distinct codes: those that some other array has too, and the logarithm of how many have it."""
+    arrays = [np.frombuffer(x, np.uint32) for x in blobs]
+    every = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+    level = np.log2(counts).astype(np.uint8)[inverse]
+    edges = np.cumsum([0, *map(len, arrays)])
+    return [(x[level[a:b] > 0], level[a:b][level[a:b] > 0]) for x, a, b in zip(arrays, edges[:-1], edges[1:], strict=True)]
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -126,38 +105,82 @@ def _digests(batches, sets_of):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets[0].astype(np.int64)), *_set_ids(*sets)], ["doc_id", "n", "s", "t"])
 
 
-def _stars(batches, sets_of, num: int, den: int):
-    """segment, u, v: the least document of each segment among so many at a time (v null), and the edges to it
-    from the other ones (segment any value, v not null)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush():
-        segment, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
+def _send_codes(sets_of, ranges: int):
+    """The distinct codes of a bucket's shingles, by range, and how often more than once in the bucket."""
+
+    def send(table: pa.Table) -> pa.Table:
+        parts = [codes(sets_of(batch.column("text"))[2], ranges) for batch in slices(table.to_batches(), "text")]
+        part, code = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        order = np.lexsort((code, part))
+        part, code = part[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (code[1:] != code[:-1])])) if len(part) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(part)))
+        part, code = part[first], code[first]
+        present, start = np.unique(part, return_index=True)
+        stop = np.append(start[1:], len(part)).astype(int)
+        bucket = table.column("__bucket")[0].as_py()
+        blobs = [code[a:b].tobytes() for a, b in zip(start, stop, strict=True)]
+        twice = [np.packbits(times[a:b] > 1).tobytes() for a, b in zip(start, stop, strict=True)]
+        return pa.table([pa.array(present), pa.array(np.full(len(present), bucket)), pa.array(blobs, pa.binary()), pa.array(twice, pa.binary())], names=["part", "bucket", "codes", "twice"])
+
+    return send
+
+
+def _return_codes(table: pa.Table) -> pa.Table:
+    """What each bucket must know of a range: its codes that occur more than once, with their levels."""
+    blobs, twice = table.column("codes").to_pylist(), table.column("twice").to_pylist()
+    # a code that a bucket has more than once counts twice
+    again = [np.frombuffer(x, np.uint32)[np.unpackbits(np.frombuffer(t, np.uint8), count=len(x) // 4).astype(bool)].tobytes() for x, t in zip(blobs, twice, strict=True)]
+    found = levels_of(blobs + again)[: len(blobs)]
+    columns = [table.column("part"), table.column("bucket"), pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())]
+    return pa.table(columns, names=["part", "bucket", "codes", "levels"]).filter(pa.array([len(x) > 0 for x, _ in found], pa.bool_()))
+
+
+def _prefixes(sets_of, num: int, den: int, ranges: int):
+    """segment, u, v: the least document of each prefix shingle in the bucket (v null), and the edges to it from
+    the other ones (segment any value, v not null)."""
+
+    def stars(table: pa.Table, known: pa.Table) -> pa.Table:
+        held = []
+        if table.num_rows:
+            shared = {p: (np.frombuffer(c, np.uint32), np.frombuffer(x, np.uint8)) for p, c, x in zip(*(known.column(k).to_pylist() for k in ("part", "codes", "levels")), strict=True)}
+            part_of = np.array(sorted(shared), np.int64)
+            code_of = np.concatenate([np.zeros(0, np.uint32), *[shared[p][0] for p in part_of]])
+            level_of = np.concatenate([np.zeros(0, np.uint8), *[shared[p][1] for p in part_of]])
+            keys = (np.repeat(part_of, [len(shared[p][0]) for p in part_of]).astype(U64) << U64(32)) | code_of
+        for batch in slices(table.to_batches(), "text"):
+            sizes, rows, shingles = sets_of(batch.column("text"))
+            part, code = codes(shingles, ranges)
+            key = (part.astype(U64) << U64(32)) | code
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            level = np.where(keys[at] == key, level_of[at], 0) if len(keys) else np.zeros(len(key), np.uint8)
+            order = np.lexsort((shingles, level, rows))
+            rows, shingles, level = rows[order], shingles[order], level[order]
+            place = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+            chosen = (place < prefix_sizes(sizes, num, den)[rows]) & (level > 0)
+            held.append((shingles[chosen], batch.column("doc_id").to_numpy()[rows[chosen]]))
+        segment, doc = (np.concatenate([np.zeros(0, x), *[h[k] for h in held]]) for k, x in ((0, U64), (1, np.int64)))
         order = np.lexsort((doc, segment))
         segment, doc = segment[order], doc[order]
-        first = np.concatenate([[True], segment[1:] != segment[:-1]])
+        first = np.ones(len(segment), bool)
+        first[1:] = segment[1:] != segment[:-1]
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
         other = doc != least
         edges = np.unique(np.stack([doc[other], least[other]]), axis=1)
-        columns = [_signed(segment[first]), pa.array(doc[first]), pa.nulls(int(first.sum()), pa.int64())]
-        table = pa.table(columns, names=["segment", "u", "v"])
-        yield from table.to_batches(max_chunksize=200_000)
-        columns = [_signed(mix(edges[0].astype(U64))), pa.array(edges[0]), pa.array(edges[1])]
-        yield from pa.table(columns, names=["segment", "u", "v"]).to_batches(max_chunksize=200_000)
+        return pa.table(
+            [
+                pa.concat_arrays([_signed(segment[first]), _signed(mix(edges[0].astype(U64)))]),
+                pa.array(np.concatenate([doc[first], edges[0]])),
+                pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(edges[1])]),
+            ],
+            names=["segment", "u", "v"],
+        )
 
-    for batch in slices(batches, "text"):
-        rows, hashes = segment_hashes(*sets_of(batch.column("text")), num, den)
-        if len(rows):
-            held.append((hashes, batch.column("doc_id").to_numpy()[rows]))
-        if sum(len(x) for x, _ in held) > SEGMENTS_AT_A_TIME:
-            yield from flush()
-    if held:
-        yield from flush()
+    return stars
 
 
 def _meet(batches):
-    """Edges from each document to the least one of its segment, of rows sorted by segment and u; edges pass."""
+    """Edges from each document to the least one of its shingle, of rows sorted by segment and u; edges pass."""
     last, least_of_last = None, 0
     for batch in batches:
         is_edge = batch.column("v").is_valid().to_numpy(zero_copy_only=False)
@@ -240,35 +263,41 @@ def links(ids: list[int], sets: list[np.ndarray], asks: list[bool], num: int, de
     """Linked pairs, of which at least one asks, that connect all sets which such pairs connect."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     sizes = [len(sets[i]) for i in order]
-    parent = list(range(len(order)))
+    component = np.arange(len(order))
+    found, index, all_of, hub = [], {}, {}, None
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+    def join(i: int, j: int) -> bool:
+        shared = np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True).size
+        if shared < required_overlap(sizes[i], sizes[j], num, den):
+            return False
+        component[component == component[i]] = component[j]
+        found.append((ids[order[i]], ids[order[j]]))
+        return True
 
-    found, index, all_of, left = [], {}, {}, len(order) - 1
     for i, k in enumerate(order):
         shingles = sets[k].tolist()
         n = sizes[i]
         low = bisect_left(sizes, -(-num * n // den))
         needed = required_overlap(n, max(sizes[low], -(-num * n // den)), num, den)
         source = all_of if asks[k] else index
-        lists = [x for x in map(source.get, shingles) if x and x[-1] >= low]
-        if len(lists) >= needed and left:
-            if low:
-                lists = [x[bisect_left(x, low) :] for x in lists]
-            for j, _ in occurring(lists, needed):
-                if root(i) != root(j):
-                    shared = np.intersect1d(sets[k], sets[order[j]], assume_unique=True).size
-                    if shared >= required_overlap(n, sizes[j], num, den):
-                        parent[root(i)] = root(j)
-                        found.append((ids[k], ids[order[j]]))
-                        left -= 1
+        postings = [np.frombuffer(x, np.int64) for x in map(source.get, shingles) if x and x[-1] >= low]
+        if hub is not None and hub >= low and (asks[k] or asks[order[hub]]) and len(postings) >= needed:
+            join(i, hub)  # members of a large component mostly link with the one that the last set linked with
+        after = low - 1
+        while len(postings) >= needed:
+            # what is in another component, and not yet looked at
+            lists = [y.tolist() for x in postings if len(y := x[(x > after) & (component[x] != component[i])])]
+            if len(lists) < needed:
+                break
+            after = next((j for j, _ in occurring(lists, needed) if join(i, j)), None)
+            if after is None:
+                break
+            hub = after
+        postings.clear()  # a view keeps its list from growing
         for x in shingles:
-            all_of.setdefault(x, []).append(i)
+            all_of.setdefault(x, array("q")).append(i)
             if asks[k]:
-                index.setdefault(x, []).append(i)
+                index.setdefault(x, array("q")).append(i)
     return found
 
 
@@ -293,8 +322,13 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
     docs = docs.select("doc_id", "text")
     light = checkpoint(docs.mapInArrow(lambda b: _digests(b, sets_of), "doc_id long, n long, s long, t long"))
     known = docs.filter("doc_id IS NOT NULL")
-    shared = known.mapInArrow(lambda b: _stars(b, sets_of, num, den), "segment long, u long, v long").repartition("segment").sortWithinPartitions("segment", "u")
-    stars = shared.mapInArrow(_meet, "u long, v long")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(LEAST_RANGES.bit_length() - 1, (size // RANGE_BYTES).bit_length())
+    dealt = known.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
+    sent = dealt.groupBy("__bucket").applyInArrow(_send_codes(sets_of, ranges), "part long, bucket long, codes binary, twice binary")
+    returned = sent.groupBy("part").applyInArrow(_return_codes, "part long, bucket long, codes binary, levels binary")
+    prefixes = dealt.groupBy("__bucket").cogroup(returned.groupBy("bucket")).applyInArrow(_prefixes(sets_of, num, den, ranges), "segment long, u long, v long")
+    stars = prefixes.repartition("segment").sortWithinPartitions("segment", "u").mapInArrow(_meet, "u long, v long")
     groups = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "t", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     spoken_for = light.join(groups.filter("copies > 1").select("s", "t", "n", "least"), ["s", "t", "n"]).filter("doc_id <> least").select("doc_id").distinct()
     blocks = checkpoint(components(stars).withColumnsRenamed({"id": "doc_id", "label": "block"}).join(spoken_for, "doc_id", "left_anti"))

@@ -13,7 +13,6 @@ popcount of each language, less what its false-positive rate explains, decides.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,11 +138,10 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
     """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def decided(texts: pd.Series) -> pd.DataFrame:
-        filters, column = sent.value, pa.array(texts, pa.large_string(), from_pandas=True)
-        names, scores = [], []
-        for batch in slices([pa.RecordBatch.from_arrays([column], ["text"])], "text"):
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def decided(texts: pa.Array) -> pa.Array:
+        filters, names, scores = sent.value, [], []
+        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
             data, offsets = flat(batch.column("text"))
             letters = np.concatenate([[0], np.cumsum((LOWER[data] >= 0x61) & (data < 0x7B))])
             plain = letters[offsets[1:]] > letters[offsets[:-1]]
@@ -152,7 +150,7 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, text: str = "text
                 known = filters is not None and (known or any(c.isalpha() for c in batch.column("text")[i].as_py() or ""))
                 names.append(filters.languages[best[i]] if known else UNDETERMINED)
                 scores.append(float(score[i]) if known else 0.0)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     found = docs.drop("lang_pred", "score").withColumn("__found", decided(F.col(text)))
     return found.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "__found.lang_pred", "__found.score")

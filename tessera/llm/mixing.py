@@ -91,13 +91,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """The documents that the mix takes, range-sorted by position; doc_id breaks ties."""
-    return mixed.filter("taken > 0").orderBy("position", "doc_id")
+    """One row for each reading of what the mix takes, range-sorted by its position; doc_id and size break ties.
+
+    Takes the rows of mix() of at most two readings.  Adds reading (1, 2) and words (how many the reading takes),
+    position is that of the reading, and position_again goes.  Input columns with names of added ones are replaced."""
+    first = F.least("taken", "size")
+    reads = F.array(
+        F.struct(F.lit(1).alias("reading"), F.col("position").alias("at"), first.alias("words")),
+        F.struct(F.lit(2).alias("reading"), F.col("position_again").alias("at"), (F.col("taken") - first).alias("words")),
+    )
+    names = [c for c in mixed.columns if c not in ("position", "position_again", "reading", "words", "__read")]
+    spread = mixed.select(*names, F.explode(reads).alias("__read")).filter("__read.words > 0")
+    return spread.select(*names, "__read.reading", F.col("__read.at").alias("position"), "__read.words").orderBy("position", "doc_id", "size", "reading")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "position_again")
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position", "position_again")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE = r"""

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import buffers, decontaminate, jaccard_join, mixing, substring_dedup, token_count
+from tessera.llm.lineage import contracted
 
 from . import brute
 
@@ -117,6 +120,19 @@ def test_components_on_chains_of_edits_and_in_chunks(spark):
     check_components(spark, rows, block_docs=4)
 
 
+def test_tasks_contract_edges_to_forests():
+    draw = random.Random(8)
+    edges = [(draw.randint(0, 80), draw.randint(0, 80)) for _ in range(60)]
+    table = pa.table({"u": [a for a, _ in edges], "v": [b for _, b in edges]})
+    forest = [(r["u"], r["v"]) for b in contracted(table.to_batches(max_chunksize=7), most=20) for r in b.to_pylist()]
+    assert len(forest) <= len(edges) and all(u > v for u, v in forest)
+    for links in (edges, forest):
+        either = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+        roots = brute.components(81, lambda a, b, either=either: (a, b) in either)
+        assert links is edges or roots == before
+        before = roots
+
+
 def test_components_of_an_empty_table(spark):
     assert jaccard_join.jaccard_components(brute.frame(spark, [])).count() == 0
 
@@ -131,23 +147,43 @@ def test_divide_skip_finds_what_counting_finds():
         assert found == sorted(x for x, n in counts.items() if n >= needed)
 
 
-def test_segments_meet_for_all_linked_sets():
+def test_prefixes_meet_for_all_linked_sets():
     draw = random.Random(6)
+    for num in (6, 8, 9):
+        for _ in range(40):
+            base = [draw.getrandbits(63) for _ in range(draw.randint(1, 60))]
+            sets = []
+            for _ in range(8):
+                x = set(base)
+                for _ in range(draw.randint(0, 5)):
+                    x ^= {draw.choice(base), draw.getrandbits(63)}
+                sets.append(sorted(x, key=lambda v: (v % 3, v)))
+            first = [set(x[: jaccard_join.prefix_sizes(np.array([len(x)]), num, 10)[0]]) if x else set() for x in sets]
+            for i in range(8):
+                for j in range(i):
+                    a, b = set(sets[i]), set(sets[j])
+                    if a and b and 10 * len(a & b) >= num * len(a | b):
+                        assert first[i] & first[j]
+
+
+def test_codes_come_back_with_how_often_they_occur():
+    shingles = np.array([1 << 63, (1 << 63) + 5, 7, (1 << 40) + 3], np.uint64)
+    part, code = jaccard_join.codes(shingles, 256)
+    assert part.tolist() == [128, 128, 0, 0] and code[0] == code[1] == 0 and code[3] == 1 << 16
+    found = jaccard_join.levels_of([np.array(x, np.uint32).tobytes() for x in ([1, 2, 3], [2, 3, 9], [3], [3, 8])])
+    assert [(c.tolist(), x.tolist()) for c, x in found] == [([2, 3], [1, 2]), ([2, 3], [1, 2]), ([3], [2]), ([3], [2])]
+
+
+def test_block_search_connects_what_comparing_all_pairs_connects():
+    draw = np.random.default_rng(3)
     for _ in range(60):
-        base = [draw.getrandbits(63) for _ in range(draw.randint(1, 60))]
-        sets = []
-        for _ in range(8):
-            x = set(base)
-            for _ in range(draw.randint(0, 5)):
-                x ^= {draw.choice(base), draw.getrandbits(63)}
-            sets.append(np.array(sorted(x), np.uint64))
-        sizes = np.array([len(x) for x in sets])
-        rows, hashes = jaccard_join.segment_hashes(sizes, np.repeat(np.arange(8), sizes), np.concatenate(sets), 9, 10)
-        for i in range(8):
-            for j in range(i):
-                a, b = set(sets[i].tolist()), set(sets[j].tolist())
-                if a and b and 100 * len(a & b) >= 90 * len(a | b):
-                    assert set(hashes[rows == i].tolist()) & set(hashes[rows == j].tolist())
+        n, pool = int(draw.integers(2, 25)), draw.integers(0, 2**63, 30).astype(np.uint64)
+        sets = [np.unique(draw.choice(pool, draw.integers(5, 30), replace=False)) for _ in range(n)]
+        asks = (draw.random(n) < 0.6).tolist()
+        edges = jaccard_join.links(list(range(n)), sets, asks, 6, 10)
+        linked = {(max(e), min(e)) for e in edges}
+        wanted = brute.components(n, lambda a, b: (asks[a] or asks[b]) and 10 * len({*sets[a].tolist()} & {*sets[b].tolist()}) >= 6 * len({*sets[a].tolist()} | {*sets[b].tolist()}))
+        assert brute.components(n, lambda a, b: (max(a, b), min(a, b)) in linked) == wanted
 
 
 def hits(text, items, size):
@@ -257,7 +293,15 @@ def check_mix(spark, rows, sources, **more):
     assert all(0 <= int(r.taken) <= 2 * r.size and (r.position is None or 0 <= r.position <= 1) for r in got)
     again = mixing.mix(brute.frame(spark, rows, source=sources).repartition(3), **more).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    order = [r.position for r in mixing.training_order(out).collect()]
+    read = mixing.training_order(out).collect()
+    words = {}
+    for r in read:
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    took = {}
+    for r in out.collect():
+        took[r.doc_id] = took.get(r.doc_id, 0) + r.taken
+    assert words == {k: v for k, v in took.items() if v} and all(r.words > 0 and r.reading in (1, 2) for r in read)
+    order = [r.position for r in read]
     assert order == sorted(order)
 
 
@@ -282,3 +326,29 @@ def test_digest_of_kept_text_is_of_utf8(spark):
     rows = [(1, "é  ß")]
     kept = substring_dedup.remove_repeats(brute.frame(spark, rows)).select(F.sha2("kept_text", 256).alias("s")).first().s
     assert kept == hashlib.sha256("é ß".encode()).hexdigest()
+
+
+@pytest.mark.parametrize("module", [jaccard_join, mixing, decontaminate, substring_dedup])
+def test_registered_query_equals_its_sql(spark, module):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    with duckdb.connect() as connection:
+        for name in ("documents", "benchmark"):
+            connection.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
+        wanted = connection.sql(module.ORACLE).df()
+    found = module.query(spark, folder).toPandas()
+    assert sorted(found.columns) == sorted(wanted.columns) and len(found) == len(wanted)
+    found, wanted = (x.sort_values("doc_id", ignore_index=True)[sorted(x.columns)] for x in (found, wanted))
+    for c in found.columns:
+        if found[c].dtype.kind == "f":
+            np.testing.assert_allclose(found[c].astype(float), wanted[c].astype(float), rtol=1e-9)
+        else:
+            assert found[c].astype(str).tolist() == wanted[c].astype(str).tolist()
+
+
+def test_mixing_query_is_in_training_order(spark):
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    positions = [r.position for r in mixing.query(spark, "/root/testdata/sf0.001").collect()]
+    assert positions == sorted(positions, key=lambda x: (x is None, x))

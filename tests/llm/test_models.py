@@ -392,6 +392,15 @@ def test_pipeline_takes_out_copies_with_distant_edits_or_text_appended(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, brute.frame(spark, rows), "").collect()} == {1, 4}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    base, other = (" ".join(f"{k}{i}" for i in range(60)) for k in ("word", "thing"))
+    rows = [(1, base), (1, base), (2, other), (3, base), (4, other + " more"), (5, "short"), (5, "short"), (5, "another text"), (None, base), (None, base), (None, None)]
+    kept = corpus_pipeline.near_duplicates(spark, brute.frame(spark, rows), "")
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(1, base), (2, other), (5, "short"), (5, "another text"), (None, base), (None, None)], key=repr)
+    left = corpus_pipeline.repeated_passages(spark, kept.filter("doc_id IS NOT NULL"), "")
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, base), (2, other), (5, "short"), (5, "another text")}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path, empty):
     rows = [] if empty else [*brute.awkward(), (40, "plain words here"), (41, None)]
