@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate as decontamination
 from tessera.llm import jaccard_join, language_id, mixing
-from tessera.llm.lineage import shared_folder
+from tessera.llm.lineage import checkpoint, remove, shared_folder
 from tessera.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose likeliest language has a smaller share of what the filters know is in none of them.
 LEAST_LANGUAGE_SCORE = 0.3
+#: As many doc_ids are broadcast at most (1 MB).
+MOST_BROADCAST = 100_000
 
 
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
@@ -36,10 +38,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group (five words, a similarity of 0.8); texts without words are alone."""
+    """Keeps the document with the least doc_id of each group (five words, a similarity of 0.8); texts without words are alone.
+
+    Rows with the same doc_id and text become one; different texts of one doc_id, which are one document, stay."""
+    docs = docs.select(*COLUMNS)
     groups = jaccard_join.jaccard_components(docs, 8, 10, partial(jaccard_join.shingle_sets, size=5))
-    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    seen = checkpoint(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("first")))
+    again = seen.filter("n > 1 AND first = doc_id").select("doc_id")
+    again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
+    single = docs.filter("doc_id IS NOT NULL").join(seen.filter("n > 1 OR first <> doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(again, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +66,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, in training order, with what it takes of each."""
+    """The readings of documents that the mix takes, in training order, with what it takes of each."""
     return mixing.training_order(mixing.mix(docs.select(*COLUMNS)))
 
 
@@ -74,10 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each is written as Parquet in the shared folder and read again, and its input goes."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
