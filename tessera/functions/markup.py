@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import mathlines
+
 # Elements whose edges separate words.
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "nav", "header", "footer"}
 
@@ -47,52 +49,79 @@ class _Text(HTMLParser):
 def image_text(attributes: dict) -> str:
     """What an image of a formula says: its MathML, else its alternative or title text."""
     formula = attributes.get("data-mathml") or ""
-    return linear_math(unescape_all(formula)) or attributes.get("alt") or attributes.get("title") or ""
+    return linear_math(formula) or mathlines.spoken(attributes.get("alt") or attributes.get("title") or attributes.get("data-original-title"))
 
 
 def render_html(text: str | None) -> str:
     parser = _Text()
     parser.feed(unescape_all(text))
     parser.close()
-    return re.sub(r"\s+", " ", "".join(parser.parts)).strip()
+    return mathlines.inline(" ".join(parser.parts))
+
+
+def parsed(markup: str | bytes) -> ElementTree.Element:
+    """The root of XML that declares no entities, so that nothing in it can grow."""
+    if b"<!DOCTYPE" in (markup if isinstance(markup, bytes) else markup.encode()).upper():
+        raise ElementTree.ParseError("document type declarations are not read")
+    return ElementTree.fromstring(markup)
 
 
 def linear_math(markup: str | None) -> str:
-    """MathML on one line; empty if it is not well-formed."""
+    """MathML on one line, typed with its own brackets or with substitutes for them; empty if it is not well-formed."""
+    typed = (markup or "").translate({ord("«"): "<", ord("»"): ">", ord("¨"): '"'})
     try:
-        return _math(ElementTree.fromstring(markup or ""))
+        return _math(parsed(html.unescape(re.sub(r"§(?=#|lt;|gt;|amp;)", "&", typed))))
     except ElementTree.ParseError:
         return ""
 
 
-def _grouped(text: str) -> str:
-    return text if re.fullmatch(r"[\w.]*", text) else f"({text})"
+def _fenced(node, parts: list[str]) -> str:
+    separator = node.get("separators", ",")[:1]
+    return node.get("open", "(") + (f"{separator} " if separator else ", ").join(filter(None, parts)) + node.get("close", ")")
+
+
+def _low(base: str, text: str, form: str = "lowered") -> str:
+    """base with text as an index or an exponent."""
+    return base + (mathlines.script(text, form) or ("_" if form == "lowered" else "^") + mathlines.bracketed(text))
+
+
+def _exponent(base: str, text: str) -> str:
+    return base + raised if (raised := mathlines.script(text, "raised")) else f"{mathlines.bracketed(base)}^{mathlines.bracketed(text)}"
+
+
+#: What an element of so many parts says; others say their parts in a row.
+_LAYOUTS = {
+    ("mfrac", 2): lambda a, b: f"{mathlines.bracketed(a)}/{mathlines.bracketed(b)}",
+    ("msup", 2): _exponent,
+    ("msub", 2): _low,
+    ("msubsup", 3): lambda a, b, c: _low(_low(a, b), c, "raised"),
+    ("mroot", 2): lambda a, b: f"{mathlines.bracketed(b)}√{mathlines.bracketed(a)}",
+    ("mover", 2): lambda a, b: f"{a}^{mathlines.bracketed(b)}",
+    ("munder", 2): lambda a, b: f"{a}_{mathlines.bracketed(b)}",
+    ("munderover", 3): lambda a, b, c: f"{a}_{mathlines.bracketed(b)}^{mathlines.bracketed(c)}",
+}
 
 
 def _math(node) -> str:
     name = node.tag.rpartition("}")[2]
-    inner = [_math(child) for child in node]
-    if name in ("mi", "mn", "mo", "mtext"):
-        return (node.text or "").strip()
-    if name == "mfrac" and len(inner) == 2:
-        return f"{_grouped(inner[0])}/{_grouped(inner[1])}"
-    if name == "msqrt":
-        return f"sqrt({''.join(inner)})"
-    if name == "mroot" and len(inner) == 2:
-        return f"root({inner[0]}, {inner[1]})"
-    if name in ("msup", "mover") and len(inner) == 2:
-        return f"{_grouped(inner[0])}^{_grouped(inner[1])}"
-    if name in ("msub", "munder") and len(inner) == 2:
-        return f"{_grouped(inner[0])}_{_grouped(inner[1])}"
-    if name in ("msubsup", "munderover") and len(inner) == 3:
-        return f"{_grouped(inner[0])}_{_grouped(inner[1])}^{_grouped(inner[2])}"
-    if name == "mfenced":
-        return node.get("open", "(") + ", ".join(inner) + node.get("close", ")")
-    if name == "mtr":
-        return ", ".join(inner)
+    if name.startswith("annotation"):
+        return ""
+    if name == "mo":
+        return mathlines.operator("".join(node.itertext()))
+    if name in ("mi", "mn", "mtext", "ms") or not len(node):
+        return mathlines.inline("".join(node.itertext()))
     if name == "mtable":
-        return "[" + "; ".join(inner) + "]"
-    return "".join(inner)
+        rows = [[_math(cell) for cell in row if cell.tag.endswith("mtd")] for row in node if row.tag.endswith("mtr")]
+        return mathlines.inline("[" + " ; ".join(", ".join(filter(None, row)) for row in rows) + "]")
+    parts = [_math(child) for child in node]
+    if name == "semantics":
+        return next(filter(None, parts), "")
+    if name == "mfenced":
+        return mathlines.inline(_fenced(node, parts))
+    if name == "msqrt":
+        return mathlines.inline(f"√{mathlines.bracketed(' '.join(filter(None, parts)))}")
+    layout = _LAYOUTS.get((name, len(parts)))
+    return mathlines.inline(layout(*parts) if layout else " ".join(filter(None, parts)))
 
 
 def _over_strings(function):

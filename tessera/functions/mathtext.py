@@ -1,72 +1,53 @@
-"""Spoken and typed mathematics as column expressions."""
+"""Spoken and typed mathematics as columns: Arrow-batched functions over `mathlines`."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters and their raised or lowered forms.
-PLAIN = "0123456789+-=()n"
-RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"
-LOWERED = "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₙ"
-OPERATORS = {"*": "×", "−": "-", "–": "-", "—": "-"}
-# Numbers and parts in words.
-NUMERATORS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
-PARTS = {"half": 2, "halves": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10}
-SPOKEN_OPERATORS = {"is less than or equal to": "≤", "is greater than or equal to": "≥", "is not equal to": "≠", "plus or minus": "±", "divided by": "÷", "multiplied by": "×", "times": "×", "plus": "+", "minus": "-", "equals": "="}
-FRACTION_DEPTH = 4
+from . import mathlines
+
+
+def _over(function, text: Column) -> Column:
+    """function over the texts; null stays null."""
+
+    @F.arrow_udf("string")
+    def apply(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
+
+    return apply(text)
 
 
 def inline(text: Column) -> Column:
-    """Blanks as print has them: none before , . ; : ! ? or inside brackets, one around operators, none after a sign."""
-    out = F.regexp_replace(text, r"(?U)[\s ]+", " ")
-    for pattern, with_ in [(r"\s+([,.;:!?])", "$1"), (r"([(\[{])\s+", "$1"), (r"\s+([)\]}])", "$1"), (r"\s*([=+\-×÷≤≥≠±∓])\s*", " $1 "), (r"(^|[(=+\-×÷≤≥≠±∓\[])(\s*)-\s+([A-Za-z0-9.])", "$1$2-$3"), (r"\s+", " ")]:
-        out = F.regexp_replace(out, pattern, with_)
-    return F.trim(out)
+    """Blanks as print has them: none before , . ; : ! ? or inside brackets, one around operators, none at a sign."""
+    return _over(mathlines.inline, text)
+
+
+def symbols(text: Column) -> Column:
+    """Spoken mathematics in symbols, fractions of any depth."""
+    return _over(mathlines.spoken, text)
 
 
 def operator(text: Column) -> Column:
     """One sign for each operator."""
-    return F.translate(F.trim(text), "".join(OPERATORS), "".join(OPERATORS.values()))
+    return F.translate(F.trim(text), "".join(mathlines.OPERATORS), "".join(mathlines.OPERATORS.values()))
 
 
 def _script(text: Column, forms: str) -> Column:
-    return F.when(text.rlike(r"^[0-9+\-=()n]+$"), F.translate(text, PLAIN, forms))
+    return F.when(text.rlike(r"^[0-9+\-=()n]+$"), F.translate(text, mathlines.PLAIN, forms))
 
 
 def raised(text: Column) -> Column:
     """Superscript characters; null where some character has none."""
-    return _script(text, RAISED)
+    return _script(text, mathlines.RAISED)
 
 
 def lowered(text: Column) -> Column:
-    return _script(text, LOWERED)
+    return _script(text, mathlines.LOWERED)
 
 
 def bracketed(text: Column) -> Column:
     """In parentheses unless it is one word or has them."""
     t = F.trim(text)
     return F.when((t == "") | t.rlike(r"^[A-Za-z0-9_.]+$") | t.rlike(r"^\(.*\)$"), t).otherwise(F.concat(F.lit("("), t, F.lit(")")))
-
-
-def symbols(text: Column) -> Column:
-    """Spoken mathematics in symbols: fractions from the inside out, operators, parts of a whole, powers and negatives."""
-    out = inline(text)
-    word, inner = r"(\w[\w.]*)", r"((?:(?!fraction numerator|end fraction).)+?)"
-    for _ in range(FRACTION_DEPTH):
-        found = rf"(?i)fraction numerator\s+{inner}\s+over denominator\s+{inner}\s+end fraction"
-        out = F.regexp_replace(out, rf"(?i)fraction numerator\s+{word}\s+over denominator\s+{word}\s+end fraction", "$1/$2")
-        out = F.regexp_replace(out, found, "($1)/($2)")
-    for spoken, sign in SPOKEN_OPERATORS.items():
-        out = F.regexp_replace(out, rf"(?i)\b{spoken}\b", sign)
-    out = F.regexp_replace(out, r"(?i)\bnegative\s+([A-Za-z0-9.]+)", "-$1")
-    for part, below in PARTS.items():
-        for name, above in NUMERATORS.items():
-            out = F.regexp_replace(out, rf"(?i)\b{name}\s+{part}s?\b", f"{above}/{below}")
-        out = F.regexp_replace(out, rf"(?i)\b(\d+)\s+{part}s?\b", f"$1/{below}")
-    for digit, form in zip(PLAIN[:10], RAISED[:10], strict=True):
-        out = F.regexp_replace(out, rf"(?i)(\w|[)\]])\s+to the power of\s+{digit}\b(?:\s+end exponent)?", f"$1{form}")
-    out = F.regexp_replace(out, r"(?i)(\w|[)\]])\s+to the power of\s+(-?\w+)(?:\s+end exponent)?", "$1^$2")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?i)(\w|[)\]])\s+squared\b", "$1²"), r"(?i)(\w|[)\]])\s+cubed\b", "$1³")
-    out = F.regexp_replace(out, r"(?i)\s*\bend exponent\b", "")
-    return inline(out)

@@ -13,19 +13,20 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import markup, text
+from tessera.functions import markup, mathtext, text
 from tessera.operators import identity, link
 
 #: Limits of an archive.
 MOST_MEMBERS, MOST_BYTES = 100_000, 20 << 30
 
 FILES = "snapshot string, file string, content binary, error string"
-NODES = "snapshot string, file string, node_id long, parent_id long, depth int, tag string, attrs map<string,string>, text string, tail string, section_path string, section_ident string, section_node long, item_node long, condition_node long, negated boolean, feedback string, error string"
+NODES = "snapshot string, file string, node_id long, parent_id long, depth int, tag string, attrs map<string,string>, text string, tail string, section_path string, section_ident string, section_node long, item_node long, condition_node long, negated boolean, feedback string, block_node long, is_blank boolean, in_presentation boolean, choice_node long, group_node long, string_node long, error string"
 
 _COLUMNS = [field.split()[0] for field in NODES.split(", ")]
+_KINDS = {c: "Int64" for c in _COLUMNS if c.endswith(("parent_id", "_node"))} | {"depth": "Int32"} | {c: "boolean" for c in ("negated", "is_blank", "in_presentation")}
 _TEXTS = ["tag", "text", "tail", "section_path", "section_ident", "feedback", "error"]
 
 
@@ -60,10 +61,14 @@ def expand(path: str, content: bytes) -> Iterator[tuple[str, str, bytes | None,
 
 def walk(content: bytes) -> Iterator[dict]:
     """Elements in document order, with what encloses them: titled sections, the nearest section, item, scoring
-    condition (and whether an odd number of negations is between) and feedback block."""
+    condition (and whether an odd number of negations is between), feedback block, choice, response group and string.
+
+    block_node is the material that stands in a presentation itself or in its flows: a block of the prompt.  A
+    response_str that stands there is a blank of the prompt."""
     number = 0
     outside = {"section_path": "", "section_ident": "", "section_node": None, "item_node": None, "condition_node": None, "negated": False, "feedback": None}
-    stack = [(ElementTree.fromstring(content), None, 0, outside)]
+    outside |= {"block_node": None, "in_presentation": False, "choice_node": None, "group_node": None, "string_node": None, "flows": False}
+    stack = [(markup.parsed(content), None, 0, outside)]
     while stack:
         node, parent, depth, around = stack.pop()
         number += 1
@@ -79,7 +84,17 @@ def walk(content: bytes) -> Iterator[dict]:
             around = {**around, "negated": not around["negated"]}
         elif tag == "itemfeedback":
             around = {**around, "feedback": node.get("ident")}
-        yield {"node_id": number, "parent_id": parent, "depth": depth, "tag": tag, "attrs": {k.rpartition("}")[2]: v for k, v in node.attrib.items()}, "text": node.text, "tail": node.tail, **around}
+        elif tag in ("response_label", "response_grp", "response_str"):
+            around = {**around, {"response_label": "choice_node", "response_grp": "group_node", "response_str": "string_node"}[tag]: number}
+        is_blank = tag == "response_str" and around["flows"]
+        if tag == "presentation":
+            around = {**around, "in_presentation": True, "flows": True}
+        elif tag == "material" and around["flows"]:
+            around = {**around, "block_node": number, "flows": False}
+        elif tag != "flow":
+            around = {**around, "flows": False}
+        placed = {k: v for k, v in around.items() if k != "flows"}
+        yield {"node_id": number, "parent_id": parent, "depth": depth, "tag": tag, "attrs": {k.rpartition("}")[2]: v for k, v in node.attrib.items()}, "text": node.text, "tail": node.tail, "is_blank": is_blank, **placed}
         stack += [(child, number, depth + 1, around) for child in reversed(node)]
 
 
@@ -109,7 +124,7 @@ def read_nodes(files: DataFrame) -> DataFrame:
                 except ElementTree.ParseError as e:
                     nodes = pd.DataFrame([{"node_id": 0, "attrs": {}, "error": str(e)}])
                 nodes["snapshot"], nodes["file"] = row.snapshot, row.file
-                nodes = nodes.reindex(columns=_COLUMNS).astype({"parent_id": "Int64", "item_node": "Int64", "section_node": "Int64", "condition_node": "Int64", "depth": "Int32", "negated": "boolean"})
+                nodes = nodes.reindex(columns=_COLUMNS).astype(_KINDS)
                 yield nodes.astype({c: object for c in _TEXTS}).replace({c: {float("nan"): None} for c in _TEXTS})
 
     return files.mapInPandas(walked, NODES)
@@ -125,31 +140,54 @@ def fields(nodes: DataFrame) -> DataFrame:
     return pairs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("label", "entry"))).alias("fields"))
 
 
+def _in_order(value: str) -> Column:
+    """An aggregate: the values by node_id."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("node_id", value))), lambda x: x[value])
+
+
+def texts_of(nodes: DataFrame, node: str, named: str) -> DataFrame:
+    """What the material below each `node` (a column of enclosing nodes) says: its texts in order, rendered."""
+    html = F.array_join(_in_order("t"), " ")
+    told = nodes.filter(F.col(node).isNotNull() & (F.col("tag") == "mattext")).withColumn("t", F.trim(F.coalesce("text", F.lit("")))).filter("t <> ''")
+    return told.groupBy("snapshot", "file", "item_node", node).agg(html.alias("h")).select("snapshot", "file", "item_node", node, markup.html_text(F.col("h")).alias(named))
+
+
+def prompts(nodes: DataFrame) -> DataFrame:
+    """snapshot, file, item_node, prompt: the blocks of each item's presentation in order, blanks as [Blank n];
+    without any, its first text."""
+    key = ["snapshot", "file", "item_node"]
+    blocks = texts_of(nodes, "block_node", "part").filter("part <> ''").withColumnRenamed("block_node", "node_id")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("node_id"))
+    blanks = nodes.filter("is_blank AND item_node IS NOT NULL").select(*key, "node_id", F.concat(F.lit("[Blank "), number.cast("string"), F.lit("]")).alias("part"))
+    whole = blocks.unionByName(blanks).groupBy(*key).agg(F.array_join(_in_order("part"), " ").alias("p")).select(*key, mathtext.inline(F.col("p")).alias("prompt"))
+    first = nodes.filter("in_presentation AND tag = 'mattext' AND item_node IS NOT NULL").groupBy(*key).agg(F.min_by("text", "node_id").alias("h"))
+    return whole.join(first, key, "full_outer").select(*key, F.coalesce("prompt", markup.html_text(F.col("h")), F.lit("")).alias("prompt"))
+
+
+def choices(nodes: DataFrame) -> DataFrame:
+    """snapshot, file, item_node, choice_node, ident, choice: the options of each item that say something."""
+    labels = nodes.filter("tag = 'response_label' AND item_node IS NOT NULL").select("snapshot", "file", "item_node", F.col("node_id").alias("choice_node"), "group_node", F.col("attrs.ident").alias("ident"))
+    return labels.join(texts_of(nodes, "choice_node", "choice"), ["snapshot", "file", "item_node", "choice_node"]).filter("choice <> ''")
+
+
 def items(nodes: DataFrame) -> DataFrame:
     """One row for each item and item reference: identity, prompt, choices and keys, and its place in the file."""
     key = ["snapshot", "file", "item_node"]
-    texts = nodes.filter("item_node IS NOT NULL AND tag IN ('mattext', 'response_label')")
-    # texts inside a choice come after its label, in document order
-    last_label = F.last(F.when(F.col("tag") == "response_label", F.col("attrs.ident")), ignorenulls=True).over(Window.partitionBy(*key).orderBy("node_id"))
-    placed = texts.withColumn("choice", last_label).filter("tag = 'mattext'")
-    told = placed.groupBy(*key).agg(
-        F.min_by("text", "node_id").alias("prompt_html"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("choice").isNotNull(), F.struct("node_id", "text")))), lambda x: x.text).alias("choices"),
-    )
+    options = choices(nodes).withColumnRenamed("choice_node", "node_id").groupBy(*key).agg(_in_order("choice").alias("choices"))
+    told = prompts(nodes).join(options, key, "full_outer")
     heads = nodes.filter("tag IN ('item', 'itemref')").select(
         "snapshot", "file", "node_id", F.col("node_id").alias("item_node"), "tag", F.col("attrs.ident").alias("ident"), F.col("attrs.label").alias("label"), F.col("attrs.linkrefid").alias("linkrefid"), "section_path", "section_ident"
     )
     out = heads.join(told, key, "left").join(fields(nodes), key, "left")
     number = F.row_number().over(Window.partitionBy("snapshot", "file").orderBy("node_id"))
-    prompt = markup.html_text(F.col("prompt_html"))
-    named = out.withColumn("item_number", number).withColumn("prompt", F.coalesce(prompt, F.lit("")))
-    choices = F.array_join(F.transform(F.coalesce("choices", F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit(""))), " || ")
+    named = out.withColumn("item_number", number).withColumn("prompt", F.coalesce("prompt", F.lit("")))
+    said = F.array_join(F.coalesce("choices", F.array().cast("array<string>")), " || ")
     kind = F.coalesce(F.col("fields")["qmd_questiontype"], F.lit(""))
     return named.select(
         "snapshot", "file", "item_number", "tag", "ident", "label", "linkrefid", "section_path", "section_ident", "prompt", F.coalesce(F.size("choices"), F.lit(0)).alias("n_choices"), kind.alias("kind"),
         F.nullif(F.col("fields")["qmd_displayid"], F.lit("")).alias("displayid"), F.nullif(F.col("fields")["qmd_globalid"], F.lit("")).alias("globalid"),
         text.exact_key(F.col("prompt")).alias("exact_key"), text.similarity_key(F.col("prompt")).alias("similarity_key"),
-        F.concat_ws("|", kind, text.exact_key(F.col("prompt")), text.exact_key(choices)).alias("signature"),
+        F.concat_ws("|", kind, text.exact_key(F.col("prompt")), text.exact_key(said)).alias("signature"),
     )
 
 
@@ -168,10 +206,18 @@ def link_items(catalogue: DataFrame, placed: DataFrame) -> DataFrame:
     rungs = [("source_evidence", "displayid"), ("source_evidence", "globalid"), ("inferred_exact", "signature"), ("inferred_exact", "exact_key")]
     inline = link.ladder(inline, "item_number", [(level, name, gate(name), name) for level, name in rungs], "record")
     key = F.concat_ws("#", "snapshot", "file", F.lpad("item_number", 8, "0"))
-    # the kind is part of the compared text's key only by a join: texts are compared whatever it is, and kept within it
+    # an item is compared with the records of its kind, or with all where the kind has none; of these only with
+    # records of as many choices, or of none, where there are any
     rest = inline.filter("record IS NULL").withColumn("item", key)
     near = link.similarity_candidates(rest, records, "item", "record", "similarity_key")
-    near = near.join(rest.select("item", F.col("kind").alias("k")), "item").join(records.select("record", "kind"), "record").filter("k = kind")
+    known = records.select("kind", "n_choices").distinct()
+    kinds = rest.select(F.col("kind").alias("k"), F.col("n_choices").alias("n")).distinct()
+    own = kinds.join(known.select(F.col("kind").alias("k")).distinct().withColumn("has_kind", F.lit(True)), "k", "left").fillna(False, ["has_kind"])
+    # two small tables: kinds by numbers of choices
+    fitting = own.join(known, (~F.col("has_kind") | (F.col("k") == F.col("kind"))) & ((F.col("n_choices") == F.col("n")) | (F.col("n_choices") == 0)), "left_semi").withColumn("has_count", F.lit(True))
+    scope = own.join(fitting, ["k", "n", "has_kind"], "left").fillna(False, ["has_count"])
+    near = near.join(rest.select("item", F.col("kind").alias("k"), F.col("n_choices").alias("n")), "item").join(scope, ["k", "n"]).join(records.select("record", "kind", "n_choices"), "record")
+    near = near.filter((~F.col("has_kind") | (F.col("k") == F.col("kind"))) & (~F.col("has_count") | (F.col("n_choices") == F.col("n")) | (F.col("n_choices") == 0)))
     best = identity.first_per(near, ["item"], [F.desc("score"), F.col("record")]).select("item", "record", "score")
     second = near.join(best.select("item", F.col("record").alias("top")), "item").filter("record <> top").groupBy("item").agg(F.max("score").alias("second"))
     sure = best.join(second, "item", "left").filter((F.col("score") >= link.SIMILAR) & (F.round(F.col("score") - F.coalesce("second", F.lit(0.0)), 6) >= link.LEAD)).select("item", F.col("record").alias("similar"))

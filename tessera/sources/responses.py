@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exports
+
 ITEM = ["snapshot", "file", "item_node"]
 
 
@@ -68,3 +70,54 @@ def sections(nodes: DataFrame) -> DataFrame:
     out = heads.join(meta, key, "left").join(inside, key, "left").fillna(0, ["n_items", "n_references"])
     state = F.when(F.col("draw_count").isNull(), "fixed").when(F.col("draw_count") > F.col("n_items") + F.col("n_references"), "infeasible").otherwise("draw")
     return out.withColumn("state", state)
+
+
+def blanks(nodes: DataFrame) -> DataFrame:
+    """One row for each response string of an item: its number, the ident of its first label, and the values that score for it."""
+    strings = nodes.filter("tag = 'response_str' AND item_node IS NOT NULL").select(*ITEM, F.col("node_id").alias("string_node"))
+    number = F.row_number().over(Window.partitionBy(*ITEM).orderBy("string_node"))
+    labels = nodes.filter("tag = 'response_label' AND string_node IS NOT NULL").groupBy(*ITEM, "string_node").agg(F.min_by("attrs.ident", "node_id").alias("respident"))
+    scored = predicates(nodes).join(_marks(nodes).filter("positive").select(*ITEM, "condition_node"), [*ITEM, "condition_node"]).filter("NOT negated AND value <> ''")
+    answers = scored.groupBy(*ITEM, "respident").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "value"))), lambda x: x.value)).alias("answers"))
+    named = strings.withColumn("blank_number", number).join(labels, [*ITEM, "string_node"], "left").join(answers, [*ITEM, "respident"], "left")
+    return named.select(*ITEM, "blank_number", F.coalesce("respident", F.lit("")).alias("respident"), F.coalesce("answers", F.array().cast("array<string>")).alias("answers"))
+
+
+def blank_answers(nodes: DataFrame) -> DataFrame:
+    """snapshot, file, item_node, blank_count, blank_answers: `Blank n: a / b` of the blanks that have answers."""
+    line = F.when(F.size("answers") > 0, F.struct("blank_number", F.concat(F.lit("Blank "), F.col("blank_number").cast("string"), F.lit(": "), F.array_join("answers", " / ")).alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x.line)
+    return blanks(nodes).groupBy(*ITEM).agg(F.count("*").alias("blank_count"), F.array_join(lines, " || ").alias("blank_answers"))
+
+
+def matching(nodes: DataFrame) -> DataFrame:
+    """The two sides of matching items: side (prompt, option), place, ident and what it says; an option ident counts once."""
+    groups = nodes.filter("tag = 'response_grp' AND item_node IS NOT NULL").select(*ITEM, F.col("node_id").alias("group_node"), F.coalesce("attrs.respident", F.lit("")).alias("ident"))
+    first = nodes.filter("tag = 'material' AND group_node IS NOT NULL AND parent_id = group_node").groupBy(*ITEM, "group_node").agg(F.min("node_id").alias("material"))
+    inside = nodes.filter("tag = 'mattext' AND group_node IS NOT NULL AND choice_node IS NULL")
+    told = exports.texts_of(inside.join(first, [*ITEM, "group_node"]).filter("node_id > material").withColumn("block", F.col("material")), "block", "said")
+    sides = first.join(told, (first.item_node == told.item_node) & (first.material == told.block) & (first.file == told.file) & first.snapshot.eqNullSafe(told.snapshot)).select(first.snapshot, first.file, first.item_node, "group_node", "said")
+    prompts = groups.join(sides, [*ITEM, "group_node"]).filter("said <> ''").select(*ITEM, F.lit("prompt").alias("side"), F.col("group_node").alias("place"), "ident", "said")
+    options = exports.choices(nodes).filter("group_node IS NOT NULL AND coalesce(ident, '') <> ''").groupBy(*ITEM, "ident").agg(F.min(F.struct("choice_node", "choice")).alias("o"))
+    return prompts.unionByName(options.select(*ITEM, F.lit("option").alias("side"), F.col("o.choice_node").alias("place"), "ident", F.col("o.choice").alias("said")))
+
+
+def label_issues(nodes: DataFrame) -> DataFrame:
+    """True/False items whose labels are not the bare words True and False in this order, and Multi-Select items without
+    a native key: two conditions that add 1 and 0, and a grading type of 0."""
+    meta = exports.fields(nodes)
+    kind = F.col("fields")["qmd_questiontype"]
+    heads = nodes.filter("tag = 'item'").select("snapshot", "file", F.col("node_id").alias("item_node"), F.col("attrs.label").alias("label"), F.col("attrs.ident").alias("ident")).join(meta, ITEM)
+    named = heads.select(*ITEM, kind.alias("kind"), F.coalesce(F.nullif(F.col("fields")["qmd_displayid"], F.lit("")), F.nullif("label", F.lit("")), F.nullif("ident", F.lit("")), F.lit("[unidentified]")).alias("identity"))
+    texts = nodes.filter("tag = 'mattext' AND choice_node IS NOT NULL").groupBy(*ITEM, "choice_node").agg(F.min_by(F.struct(_value().alias("text"), F.coalesce("attrs.texttype", F.lit("")).alias("type")), "node_id").alias("t"))
+    labels = texts.groupBy(*ITEM).agg(F.array_sort(F.collect_list(F.struct("choice_node", "t"))).alias("l"))
+    told = named.filter("kind = 'True/False'").join(labels, ITEM, "left")
+    words, types = F.transform(F.coalesce("l", F.array()), lambda x: x.t.text), F.transform(F.coalesce("l", F.array()), lambda x: x.t.type)
+    wrong = F.when(~words.eqNullSafe(F.array(F.lit("True"), F.lit("False"))), "truefalse_labels").when(F.exists(types, lambda x: x != "text/plain"), "truefalse_texttype")
+    faulty = told.select(*ITEM, "identity", wrong.alias("code")).filter("code IS NOT NULL")
+    sets = nodes.filter("tag = 'setvar' AND condition_node IS NOT NULL").groupBy(*ITEM, "condition_node").agg(F.min_by(F.concat_ws(" ", "attrs.action", _value()), "node_id").alias("s"))
+    keys = sets.groupBy(*ITEM).agg(F.transform(F.array_sort(F.collect_list(F.struct("condition_node", "s"))), lambda x: x.s).alias("s"))
+    grading = nodes.filter("tag = 'grading_type'").groupBy(*ITEM).agg(F.collect_list(_value()).alias("g"))
+    several = named.filter("kind = 'Multi-Select'").join(keys, ITEM, "left").join(grading, ITEM, "left")
+    native = F.col("s").eqNullSafe(F.array(F.lit("Add 1"), F.lit("Add 0"))) & F.col("g").eqNullSafe(F.array(F.lit("0")))
+    return faulty.unionByName(several.filter(~native).select(*ITEM, "identity", F.lit("multiselect_key").alias("code")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,19 @@ def write_tables(tables: dict[str, DataFrame], path: str, form: str = "parquet")
 
 
 def commit(spark, staging: str, path: str) -> None:
-    """Moves a finished staging folder to its place; what was there goes first. Works on any Hadoop file system."""
+    """Moves a finished staging folder to its place. What was there is put aside first, and deleted when the new
+    folder is in place, or put back if it is not: a reader finds the old folder, for a moment none, or the new one,
+    never a part, and a crash loses neither. Works on any Hadoop file system."""
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(target):
-        system.delete(target, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.before-{uuid.uuid4().hex}")
+    had = system.exists(target)
+    if had and not system.rename(target, aside):
+        raise OSError(f"could not put {path} aside")
     if not system.rename(source, target):
+        if had:
+            system.rename(aside, target)
         raise OSError(f"could not move {staging} to {path}")
+    if had:
+        system.delete(aside, True)

@@ -44,8 +44,24 @@ def test_scalars(spark):
 def test_markup():
     assert markup.unescape_all("&amp;amp;lt;") == "<"
     assert markup.render_html("<p>a</p><p>b &amp;amp; c</p><img alt='x^2'>") == "a b & c x^2"
-    assert markup.linear_math("<math><mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mi>b</mi></mfrac></math>") == "(a+1)/b"
-    assert markup.linear_math("<math>") == ""
+    assert markup.linear_math("<math><mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mi>b</mi></mfrac></math>") == "(a + 1)/b"
+    assert markup.linear_math("<math>") == "" and markup.linear_math("<!DOCTYPE m [<!ENTITY a 'b'>]><math>&a;</math>") == ""
+    said = {
+        "<msqrt><mi>x</mi><mo>+</mo><mn>1</mn></msqrt>": "√(x + 1)",
+        "<msup><mi>x</mi><mn>2</mn></msup>": "x²",
+        "<msup><mrow><mi>a</mi><mo>*</mo><mi>b</mi></mrow><mi>k</mi></msup>": "(a × b)^k",
+        "<msubsup><mi>x</mi><mn>1</mn><mn>2</mn></msubsup>": "x₁²",
+        "<mroot><mi>x</mi><mn>3</mn></mroot>": "3√x",
+        "<mfenced><mi>a</mi><mi>b</mi></mfenced>": "(a, b)",
+        "<mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable>": "[1, 2; 3]",
+        "<munderover><mo>∑</mo><mi>i</mi><mi>n</mi></munderover>": "∑_i^n",
+        "<semantics><mi>q</mi><annotation>no</annotation></semantics>": "q",
+        "<mi>a</mi><mo>−</mo><mi>b</mi>": "a - b",
+    }
+    for inner, wanted in said.items():
+        assert markup.linear_math(f"<math>{inner}</math>") == wanted, inner
+    assert markup.linear_math("«math»«mi»x«/mi»«mo»§lt;«/mo»«/math»") == "" and markup.linear_math("«math»«mi»x«/mi»«/math»") == "x"
+    assert markup.render_html("<img alt='x squared plus one half'>") == "x² + 1/2"
 
 
 def test_keys_last_through_refreshes(spark):
@@ -143,12 +159,17 @@ def test_spoken_mathematics(spark):
     from tessera.functions import mathtext
 
     said = {
-        "fraction numerator a plus 1 over denominator b end fraction": "(a + 1)/(b)",
+        "fraction numerator a plus 1 over denominator b end fraction": "(a + 1)/b",
+        "fraction numerator fraction numerator a over denominator b end fraction over denominator c plus 1 end fraction squared": "(a/b)/(c + 1)²",
+        "fraction numerator never closed": "fraction numerator never closed",
+        "f ( x ) is greater than or equal to 3 x": "f(x) is ≥ 3x",
+        "sometimes open bracket - y close bracket": "sometimes [-y]",
+        "2 to the power of - 3": "2⁻³",
         "fraction numerator x over denominator y end fraction": "x/y",
         "x squared plus three fourths": "x² + 3/4",
-        "x to the power of 5 end exponent equals negative 2": "x⁵ = -2",
+        "x to the power of 5 end exponent equals negative 2": "x⁵ =-2",
         "y to the power of k": "y^k",
-        "( 3 ) , 4 = - 2": "(3), 4 = -2",
+        "( 3 ) , 4 = - 2": "(3), 4 =-2",
     }
     for given, wanted in said.items():
         assert one(spark, mathtext.symbols(F.col("t")), t=given) == wanted

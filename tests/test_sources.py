@@ -110,3 +110,53 @@ def test_keys_feedback_and_sections(spark, tmp_path):
     assert channels == {"F1": ("correct", None, "well done"), "F2": ("incorrect", None, "no"), "F3": ("choice", "A2", "look again"), "F4": ("general", None, "note")}
     found = {r.section_path: (r.draw_count, r.n_items, r.n_references, r.state) for r in responses.sections(nodes).collect()}
     assert found == {"S": (3, 3, 0, "draw"), "S > Inner": (None, 1, 1, "fixed")}
+
+
+RICH = """<q><assessment><section title="S"><item ident="m"><itemmetadata><qtimetadata/></itemmetadata><presentation><flow><material><mattext>Part &lt;b&gt;one&lt;/b&gt;</mattext></material>
+<flow><material><mattext>and</mattext></material><response_str ident="s1"><render_fib><response_label ident="A1"/></render_fib></response_str><material><mattext>then</mattext></material><response_str ident="s2"><response_label ident="A2"/></response_str></flow></flow>
+<response_lid><render_choice><flow_label><response_label ident="c1"><material><mattext>red</mattext></material></response_label></flow_label><flow_label><response_label ident="c2"><material><mattext>blue</mattext></material></response_label></flow_label></render_choice></response_lid></presentation>
+<resprocessing><respcondition><conditionvar><varequal respident="A1">x</varequal><varequal respident="A1">y</varequal></conditionvar><setvar>50</setvar></respcondition></resprocessing>
+<itemfeedback ident="F"><material><mattext>well done</mattext></material></itemfeedback></item>
+<item ident="g"><presentation><response_grp respident="G1"><material><mattext>capital of France</mattext></material><render_choice><response_label ident="p"><material><mattext>Paris</mattext></material></response_label><response_label ident="r"><material><mattext>Rome</mattext></material></response_label></render_choice></response_grp>
+<response_grp respident="G2"><material><mattext>capital of Italy</mattext></material><render_choice><response_label ident="p"><material><mattext>Paris</mattext></material></response_label><response_label ident="r"><material><mattext>Rome</mattext></material></response_label></render_choice></response_grp></presentation></item></section></assessment></q>"""
+
+
+def test_prompts_of_several_blocks_blanks_and_matching(spark, tmp_path):
+    from tessera.sources import responses
+
+    (tmp_path / "quiz.xml").write_text(RICH)
+    (tmp_path / "grown.xml").write_text('<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>')
+    nodes = exports.read_nodes(exports.read_files(spark, str(tmp_path))).cache()
+    assert [r.file for r in nodes.filter("error IS NOT NULL").collect()] == ["grown.xml"]
+    found = {r.ident: r for r in exports.items(nodes).collect()}
+    assert (found["m"].prompt, found["m"].n_choices) == ("Part one and [Blank 1] then [Blank 2]", 2) and "well done" not in found["m"].signature
+    lines = {r.item_node: (r.blank_count, r.blank_answers) for r in responses.blank_answers(nodes).collect()}
+    assert list(lines.values()) == [(2, "Blank 1: x / y")]
+    sides = sorted((r.side, r.place, r.ident, r.said) for r in responses.matching(nodes).collect())
+    assert [(a, c, d) for a, _, c, d in sides] == [("option", "p", "Paris"), ("option", "r", "Rome"), ("prompt", "G1", "capital of France"), ("prompt", "G2", "capital of Italy")]
+
+
+def test_similarity_is_sought_among_records_of_as_many_choices(spark, tmp_path):
+    text = LONG + " and of its many winding tributaries"
+    library = f"""<q><objectbank><section title="P" ident="p">{item("a", text, ("1", "2", "3"))}{item("b", text + "s", ("1", "2"))}{item("c", text + " x", kind="other")}</section></objectbank></q>"""
+    quiz = f"""<q><assessment><section title="S">{item("i", text + "z", ("8", "9"))}{item("j", text + "z", ("6", "7", "8", "9"), kind="none such")}</section></assessment></q>"""
+    (tmp_path / "questiondb.xml").write_text(library)
+    (tmp_path / "quiz_1.xml").write_text(quiz)
+    found = exports.items(exports.read_nodes(exports.read_files(spark, str(tmp_path)))).cache()
+    linked = exports.link_items(found.filter("file = 'questiondb.xml'"), found.filter("file = 'quiz_1.xml'")).collect()
+    # i: only b has two choices; j: its kind has no record, so all are sought, and of these only c, which has no choices
+    assert {r.ident: (r.evidence_level, r.record and int(r.record[-8:])) for r in linked} == {"i": ("inferred_similarity", 2), "j": ("inferred_similarity", 3)}
+
+
+def test_labels_of_true_false_and_keys_of_several_choices(spark, tmp_path):
+    from tessera.sources import responses
+
+    def bare(ident, words, form="text/plain", kind="True/False", more=""):
+        labels = "".join(f'<response_label ident="{w}"><material><mattext texttype="{form}">{w}</mattext></material></response_label>' for w in words)
+        return f'<item ident="{ident}"><itemmetadata><m><fieldlabel>qmd_questiontype</fieldlabel><fieldentry>{kind}</fieldentry></m></itemmetadata><presentation>{labels}</presentation>{more}</item>'
+
+    key = '<resprocessing><respcondition><conditionvar><varequal>a</varequal></conditionvar><setvar action="Add">1</setvar></respcondition><respcondition><conditionvar/><setvar action="Add">0</setvar></respcondition></resprocessing><grading_type>0</grading_type>'
+    parts = [bare("ok", ("True", "False")), bare("turned", ("False", "True")), bare("html", ("True", "False"), "text/html"), bare("none", ()), bare("key", "ab", kind="Multi-Select", more=key), bare("nokey", "ab", kind="Multi-Select")]
+    (tmp_path / "q.xml").write_text(f"<q>{''.join(parts)}</q>")
+    nodes = exports.read_nodes(exports.read_files(spark, str(tmp_path)))
+    assert {(r.identity, r.code) for r in responses.label_issues(nodes).collect()} == {("turned", "truefalse_labels"), ("none", "truefalse_labels"), ("html", "truefalse_texttype"), ("nokey", "multiselect_key")}
