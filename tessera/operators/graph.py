@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 def kept(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -26,12 +29,13 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target:
     frontier = seen
     for depth in itertools.count(1):
         found = frontier.join(step, F.col(node) == F.col("__from")).select("start", F.col("__to").alias(node)).distinct()
+        # frontiers are kept on their own and read together: what was seen is not written again
         frontier = kept(found.join(seen, ["start", node], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         if most_steps is not None and depth > most_steps:
             raise ValueError(f"more than {most_steps} steps from the starts")
-        seen = kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
 def divide(pairs: DataFrame, member: str, group: str, required: DataFrame, of: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import changes, identity, link
+from tessera.operators import changes, graph, identity, link
 from tessera.sources.tables import table
 
 
@@ -17,7 +17,7 @@ def _keyed(docs):
 def link_exact_ladder(spark, d):
     """Odd documents as items, even ones as the catalogue: by permanent code, then by signature, then by text."""
     docs = _keyed(table(spark, d, "documents"))
-    docs = docs.withColumn("code", F.when(F.col("doc_id") % 10 < 2, F.floor(F.col("doc_id") / 10).cast("string")))
+    docs = graph.kept(docs.withColumn("code", F.when(F.col("doc_id") % 10 < 2, F.floor(F.col("doc_id") / 10).cast("string"))))  # keys once, not once for each rung
     items, records = docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "record_id")
 
     def gate(key):
@@ -66,8 +66,9 @@ def link_similarity_lev(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", text.similarity_key(F.col("p_name")).alias("name"))
     a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    distance = F.levenshtein("a.name", "b.name")
-    return pairs.select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"), distance.cast("long").alias("distance")).filter("distance <= 3")
+    near = F.abs(F.length("a.name") - F.length("b.name")) <= 3  # an edit changes the length by one at most
+    distance = F.levenshtein("a.name", "b.name", 3)  # -1 beyond that
+    return pairs.filter(near).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"), distance.cast("long").alias("distance")).filter("distance >= 0")
 
 
 LINK_SIMILARITY_LEV = """

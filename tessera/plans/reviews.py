@@ -30,7 +30,9 @@ def pool_ladder(spark, d):
     """Customers to suppliers by balance, else nation and rank, else nation: all suppliers at the first rung that has any."""
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     rungs = [(1, F.round("c_acctbal").cast("string"), F.round("s_acctbal").cast("string")), (2, F.concat_ws(":", "c_nationkey", C("c_custkey") % 3), F.concat_ws(":", "s_nationkey", C("s_suppkey") % 3)), (3, C("c_nationkey").cast("string"), C("s_nationkey").cast("string"))]
-    found = rules.union_all([c.select("c_custkey", a.alias("k")).join(s.select("s_suppkey", b.alias("k")), "k").groupBy("c_custkey").agg(F.lit(n).alias("rung"), F.count("*").alias("n_pools"), F.min("s_suppkey").alias("first_pool")) for n, a, b in rungs])
+    # suppliers of a key are counted before they are joined: a row for each customer and rung, never one for each pair
+    pools = [(n, a, s.groupBy(b.alias("k")).agg(F.count("*").alias("n_pools"), F.min("s_suppkey").alias("first_pool"))) for n, a, b in rungs]
+    found = rules.union_all([c.select("c_custkey", a.alias("k")).join(p, "k").select("c_custkey", F.lit(n).alias("rung"), "n_pools", "first_pool") for n, a, p in pools])
     best = found.groupBy("c_custkey").agg(F.min(F.struct("rung", "n_pools", "first_pool")).alias("b"))
     return best.select("c_custkey", "b.rung", "b.n_pools", "b.first_pool")
 
@@ -250,10 +252,11 @@ SELECT coalesce(a.doc_id,b.doc_id) AS doc_id, CASE WHEN a.s IS NULL THEN 'only_b
 
 def authorization_window(spark, d):
     """A customer's other orders against an order's window of 30 days: how many uses fall inside."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", C("o_orderdate").alias("valid_from"), (C("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("valid_until"))
-    e = table(spark, d, "orders").select(C("o_orderkey").alias("use_key"), "o_custkey", C("o_orderdate").alias("used_at"))
-    j = o.join(e, "o_custkey").filter("use_key <> o_orderkey")
-    return j.groupBy("o_orderkey").agg(F.count_if((C("used_at") >= C("valid_from")) & (C("used_at") < C("valid_until"))).alias("n_inside"), F.count("*").alias("n_uses"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_micros(C("o_orderdate").cast("timestamp")).alias("at"))
+    of_customer = Window.partitionBy("o_custkey")
+    inside = of_customer.orderBy("at").rangeBetween(Window.currentRow, 30 * 86_400_000_000 - 1)
+    counted = o.select("o_orderkey", (F.count("*").over(inside) - 1).alias("n_inside"), (F.count("*").over(of_customer) - 1).alias("n_uses"))
+    return counted.filter("n_uses > 0")
 
 
 AUTHORIZATION = """
