@@ -160,3 +160,51 @@ def test_labels_of_true_false_and_keys_of_several_choices(spark, tmp_path):
     (tmp_path / "q.xml").write_text(f"<q>{''.join(parts)}</q>")
     nodes = exports.read_nodes(exports.read_files(spark, str(tmp_path)))
     assert {(r.identity, r.code) for r in responses.label_issues(nodes).collect()} == {("turned", "truefalse_labels"), ("none", "truefalse_labels"), ("html", "truefalse_texttype"), ("nokey", "multiselect_key")}
+
+
+def test_sheets_give_questions_sections_and_issues(spark, tmp_path):
+    from tessera.sources import sheets
+
+    (tmp_path / "Bank1.csv").write_text(
+        "Question Code,Bank-ID,Target Question Type,Points,Option A,Option B,Correct Option Key,Correct Option Text,Scoring Policy,Question Text\n"
+        '001,B1,Multiple Choice,2.50,red,blue,,BLUE,,"two\nlines, quoted"\n002,B1,True/False,,,,t,,,x\n003,B2,Multi-Select,1,a,b,"b;a",,PARTIAL,y\n\n003,B2,multi select,no,a,b,a,,,z\n'
+    )
+    (tmp_path / "Quiz_Structure.csv").write_text("section_order,section_title,source_bank_id,recommended_draw_count\n1,First,B1,3\n2,,B9,1\n")
+    (tmp_path / "bad.csv").write_text("a,a\n1,2\n")
+    cells = sheets.read_cells(spark, str(tmp_path)).cache()
+    assert [(r.sheet, r.error) for r in cells.filter("error IS NOT NULL").collect()] == [("bad", "duplicate_header")]
+    assert {r.header for r in sheets.missing_headers(cells.filter("sheet = 'Bank1'"), ["Question Code", "Notes"]).collect()} == {"Notes"}
+    found = sheets.rows(cells).cache()
+    held = sheets.questions(found)
+    got = {(r.question_code, r.kind): (r.bank_id, r.points, list(r.options), list(r.answer_keys), r.question_text) for r in held.collect()}
+    assert got["001", "MULTIPLECHOICE"] == ("B1", 2.5, ["red", "blue"], ["B"], "two\nlines, quoted")
+    assert got["002", "TRUEFALSE"] == ("B1", 1.0, ["True", "False"], ["A"], "x") and got["003", "MULTISELECT"][1] in (1.0, None)
+    drawn = sheets.sections(found, held)
+    assert {(r.section_order, r.section_title, r.bank_id, r.draws, r.available) for r in drawn.collect()} == {(1, "First", "B1", 3, 2), (2, "B9", "B9", 1, 0)}
+    issues = {(r.code, r.entity_key) for r in sheets.intake_issues(held, drawn).collect()}
+    assert issues == {("duplicate_code", "003"), ("scoring_policy", "003"), ("points", "003"), ("empty_bank", "B9"), ("draws_too_many", "First")}
+    made = sheets.sections(found.filter("sheet = 'Bank1'"), held)
+    assert {(r.section_order, r.bank_id, r.draws) for r in made.collect()} == {(1, "B1", 2), (2, "B2", 2)}
+
+
+def test_packages(spark, tmp_path):
+    from tessera.sources import packages
+
+    data = io.BytesIO()
+    head = '<manifest xmlns="http://www.imsglobal.org/xsd/imscp_v1p1" xmlns:ns0="urn:x">'
+    listed = '<resource type="page" href="a%20b.html"/><resource type="page" href="gone.html"/><resource href="/d2l/x"/><resource type="link" href="https://a.org"/><resource type="page" href="../up.html"/>'
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("wrapped/imsmanifest.xml", f"{head}{listed}</manifest>")
+        z.writestr("wrapped/deep/imsmanifest.xml", "<manifest/>")
+        z.writestr("wrapped/a b.html", "x")
+        z.writestr("wrapped/grades_d2l.xml", '<grades><item identifier="g1" resource_code="r"><name> Quiz 1 </name></item><item identifier="g2"/></grades>')
+    (tmp_path / "p.zip").write_bytes(data.getvalue())
+    files = exports.read_files(spark, str(tmp_path)).cache()
+    nodes = exports.read_nodes(files).cache()
+    assert {(r.folder, r.is_first) for r in packages.manifests(files).collect()} == {("wrapped", True), ("wrapped/deep", False)}
+    assert [(r.root, r.manifest) for r in packages.roots(files).collect()] == [("wrapped", "wrapped/imsmanifest.xml")]
+    assert {(r.identifier, r.resource_code, r.name) for r in packages.grade_items(nodes).collect()} == {("g1", "r", "Quiz 1"), ("g2", "", "")}
+    assert {(r.type, r.n_resources) for r in packages.resource_types(nodes).collect()} == {("page", 3), ("(untyped)", 1), ("link", 1)}
+    assert {r.href for r in packages.missing_hrefs(nodes, files).collect()} == {"gone.html", "../up.html"}
+    first = packages.namespaces(files.filter("file = 'wrapped/imsmanifest.xml'"))
+    assert {(r.code, r.detail) for r in packages.namespace_issues(first).collect()} == {("invented_prefix", "ns0"), ("missing_namespace", "http://desire2learn.com/xsd/d2lcp_v2p0")}
