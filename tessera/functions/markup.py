@@ -144,11 +144,15 @@ def math_text(text: Column) -> Column:
     return _over_strings(linear_math)(text)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Gestalt similarity of two texts (not symmetric), 0 to 1."""
+def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Gestalt similarity of two texts (not symmetric), 0 to 1; 0 where the characters alone rule out `least`."""
+
+    def score(p: str, q: str) -> float:
+        compared = SequenceMatcher(None, p, q)
+        return compared.ratio() if compared.real_quick_ratio() >= least and compared.quick_ratio() >= least else 0.0
 
     @F.pandas_udf("double")
     def apply(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([score(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=float)
 
     return apply(a, b)

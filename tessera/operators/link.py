@@ -73,7 +73,7 @@ def similarity_candidates(items: DataFrame, records: DataFrame, item: str, recor
     right = b.withColumn("__band", length_bands(F.length("__b"), step))
     shorter, longer = F.least(F.length("__a"), F.length("__b")), F.greatest(F.length("__a"), F.length("__b"))
     pairs = left.join(right, "__band").filter(shorter >= step * longer).select("__a", "__b")
-    scored = pairs.withColumn("score", markup.ratio(F.col("__a"), F.col("__b"))).filter(F.col("score") >= least)
+    scored = pairs.withColumn("score", markup.ratio(F.col("__a"), F.col("__b"), least)).filter(F.col("score") >= least)
     return scored.join(items.select(item, F.col(key).alias("__a")), "__a").join(records.select(record, F.col(key).alias("__b")), "__b").select(item, record, F.round("score", 6).alias("score"))
 
 

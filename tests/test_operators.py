@@ -214,3 +214,23 @@ def test_numbers_and_digests_hold_no_whole_group(spark, monkeypatch):
     assert "collect_list" not in rows.sparkSession._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     once = rows.groupBy("g").agg(F.count("*").alias("n_files"), F.sum(F.length("sha")).alias("n_bytes"), keys.file_set_digest(*args).alias("digest"))
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in once.collect()}
+
+
+def test_similarity_finds_what_comparing_all_pairs_finds(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    draw = random.Random(4)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randint(20, 60))) for _ in range(12)]
+    near = [b[: draw.randint(len(b) - 4, len(b))] + draw.choice(["", "x", "xy"]) for b in base for _ in range(3)]
+    items = spark.createDataFrame(list(enumerate(near)), "item int, key string")
+    records = spark.createDataFrame([(i, b) for i, b in enumerate(base + base[:2])], "record int, key string")
+    found = {(r.item, r.record): r.score for r in link.similarity_candidates(items, records, "item", "record", "key").collect()}
+    scored = {(i, k): SequenceMatcher(None, n, b).ratio() for i, n in enumerate(near) for k, b in enumerate(base + base[:2]) if b and n}
+    assert found == {k: pytest.approx(v, abs=1e-6) for k, v in scored.items() if v >= link.SIMILAR - link.LEAD}
+    best = {r.item: (r.record, r.match_score) for r in link.similarity_links(items, records, "item", "record", "key").collect()}
+    for i in range(len(near)):
+        order = sorted(((v, -k) for (j, k), v in scored.items() if j == i), reverse=True)
+        if order[0][0] >= link.SIMILAR:
+            sure = order[0][0] - order[1][0] >= link.LEAD
+            assert best[i][0] == (-order[0][1] if sure else None)
