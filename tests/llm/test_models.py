@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,38 @@ def test_transcripts_come_apart_into_turns(spark):
     assert chat_format.as_transcripts(nulls.filter("false")).count() == 0
 
 
+def test_likeness_equals_that_of_plain_sets(spark, docs):
+    """near_edited and near_next of whole documents against sets of chains made one word after the other."""
+    rows = sorted((r.doc_id, r.text or "") for r in docs.orderBy("doc_id").limit(60).collect()) + [(10**9, ""), (10**9 + 1, None), (10**9 + 2, "the"), (10**9 + 3, "river and stone walk of the green house")]
+    letters = re.compile("[^\\x00-\\x60\\x7B-\\x7F]+")
+    anchors = set(spotsigs.ANCHORS)
+
+    def signatures(text):
+        ws = letters.findall((text or "").translate(brute.LOWER))
+
+        def chains(starts, links):
+            return {(ws[i], *[ws[k] for k in after[:2]]) for i in starts if len(after := [k for k in links if k > i]) >= 2}
+
+        every = range(len(ws))
+        found = chains([i for i in every if ws[i] in anchors], [i for i in every if ws[i] not in anchors])
+        return found or chains(every, every) or ({tuple(ws)} if ws else set())
+
+    def jaccard(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    given = [(i, t or "") for i, t in rows]
+    found = {r.doc_id: r for r in spotsigs.compare_with_next(brute.frame(spark, rows)).collect()}
+    assert len(found) == len(rows)
+    for k, (doc_id, text) in enumerate(given):
+        other = given[(k + 1) % len(given)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + other[:cut]
+        own, r = signatures(text), found[doc_id]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(jaccard(own, signatures(edited)), abs=1e-6) and r.near_next == pytest.approx(jaccard(own, signatures(other)), abs=1e-6)
+        assert len(r.fingerprint) == 8 * len(own)
+
+
 # language model
 
 
