@@ -23,7 +23,7 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target:
     """start, node, depth of everything the starts reach, themselves at depth 0; each node once, by its shortest way.
 
     Rounds join the frontier alone; what was seen is taken out, so cycles end. An error if most_steps do not reach all."""
-    step = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct()
+    step = kept(edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).distinct())  # once, not in each round
     frontier = starts.select(F.col(node).alias("start"), F.col(node)).distinct().withColumn("depth", F.lit(0))
     seen = kept(frontier)
     frontier = seen
