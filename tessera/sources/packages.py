@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import identity
 
+# Names of files in a package, its namespaces and the prefixes they must have.
 MANIFEST, GRADES = "imsmanifest.xml", "grades_d2l.xml"
-# Namespaces of a package and the prefixes they must have.
 DEFAULT_NAMESPACE = "http://www.imsglobal.org/xsd/imscp_v1p1"
 PREFIXES = {"http://desire2learn.com/xsd/d2lcp_v2p0": "d2l_2p0"}
+METADATA, METADATA_PREFIX, NO_METADATA = "http://www.imsglobal.org/xsd/imsmd_rootv1p2p1", "imsmd", "http://www.imsglobal.org/xsd/imsmd_v1p2"
 
 
 def manifests(files: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def namespaces(files: DataFrame) -> DataFrame:
 
 
 def namespace_issues(spaces: DataFrame, default: str = DEFAULT_NAMESPACE, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """snapshot, code, detail: invented prefixes (ns0, ns1 ...), another default, and namespaces that are absent or otherwise bound."""
+    """snapshot, code, detail: invented prefixes (ns0, ns1 ...), another default, namespaces that are absent or otherwise bound,
+    the metadata namespace in another version, and, as `metadata_prefix`, a warning where it has another prefix."""
     prefixes = prefixes or PREFIXES
     invented = spaces.filter(F.col("prefix").rlike(r"^ns\d+$")).select("snapshot", F.lit("invented_prefix").alias("code"), F.col("prefix").alias("detail"))
     wanted = spaces.select("snapshot").distinct().withColumn("w", F.explode(F.array(*[F.struct(F.lit(u).alias("uri"), F.lit(p).alias("wanted")) for u, p in prefixes.items()]))).select("snapshot", "w.uri", "w.wanted")
@@ -69,4 +71,6 @@ def namespace_issues(spaces: DataFrame, default: str = DEFAULT_NAMESPACE, prefix
     wrong = bound.filter("prefix IS NULL OR prefix <> wanted").select("snapshot", F.when(F.col("prefix").isNull(), "missing_namespace").otherwise("other_prefix").alias("code"), F.coalesce("prefix", "uri").alias("detail"))
     first = spaces.select("snapshot").distinct().join(spaces.filter("prefix = ''").groupBy("snapshot").agg(F.min("uri").alias("uri")), "snapshot", "left")
     other = first.filter(~F.col("uri").eqNullSafe(F.lit(default))).select("snapshot", F.lit("default_namespace").alias("code"), F.coalesce("uri", F.lit("")).alias("detail"))
-    return invented.unionByName(wrong).unionByName(other)
+    version = spaces.filter(F.col("uri") == NO_METADATA).select("snapshot", F.lit("metadata_version").alias("code"), F.col("uri").alias("detail")).distinct()
+    prefix = spaces.filter((F.col("uri") == METADATA) & (F.col("prefix") != METADATA_PREFIX)).select("snapshot", F.lit("metadata_prefix").alias("code"), F.col("prefix").alias("detail"))
+    return invented.unionByName(wrong).unionByName(other).unionByName(version).unionByName(prefix)

@@ -191,7 +191,7 @@ def test_packages(spark, tmp_path):
     from tessera.sources import packages
 
     data = io.BytesIO()
-    head = '<manifest xmlns="http://www.imsglobal.org/xsd/imscp_v1p1" xmlns:ns0="urn:x">'
+    head = '<manifest xmlns="http://www.imsglobal.org/xsd/imscp_v1p1" xmlns:ns0="urn:x" xmlns:m="http://www.imsglobal.org/xsd/imsmd_rootv1p2p1" xmlns:o="http://www.imsglobal.org/xsd/imsmd_v1p2">'
     listed = '<resource type="page" href="a%20b.html"/><resource type="page" href="gone.html"/><resource href="/d2l/x"/><resource type="link" href="https://a.org"/><resource type="page" href="../up.html"/>'
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("wrapped/imsmanifest.xml", f"{head}{listed}</manifest>")
@@ -207,4 +207,4 @@ def test_packages(spark, tmp_path):
     assert {(r.type, r.n_resources) for r in packages.resource_types(nodes).collect()} == {("page", 3), ("(untyped)", 1), ("link", 1)}
     assert {r.href for r in packages.missing_hrefs(nodes, files).collect()} == {"gone.html", "../up.html"}
     first = packages.namespaces(files.filter("file = 'wrapped/imsmanifest.xml'"))
-    assert {(r.code, r.detail) for r in packages.namespace_issues(first).collect()} == {("invented_prefix", "ns0"), ("missing_namespace", "http://desire2learn.com/xsd/d2lcp_v2p0")}
+    assert {(r.code, r.detail) for r in packages.namespace_issues(first).collect()} == {("invented_prefix", "ns0"), ("missing_namespace", "http://desire2learn.com/xsd/d2lcp_v2p0"), ("metadata_prefix", "m"), ("metadata_version", "http://www.imsglobal.org/xsd/imsmd_v1p2")}
