@@ -22,6 +22,21 @@ def scan_lines(rows: DataFrame, key: str, text: str, rules: dict[str, str] | Non
     return lines.withColumn("r", F.explode(counted)).filter("r.n_found > 0").select(key, (F.col("at") + 1).alias("line_number"), "r.rule", "r.n_found")
 
 
+def scan_bytes(rows: DataFrame, key: str, content: str, rules: dict[str, str] | None = None) -> DataFrame:
+    """One row for each file and rule that matches its bytes, read as UTF-8 or as UTF-16; what is no text in either is passed over."""
+
+    @F.pandas_udf("struct<narrow:string,wide:string>")
+    def readings(contents):
+        import pandas as pd
+
+        held = [b"" if c is None else bytes(c) for c in contents]
+        return pd.DataFrame({"narrow": [c.decode("utf-8", "ignore") for c in held], "wide": [c.decode("utf-16-le", "ignore") for c in held]})
+
+    read = rows.select(key, readings(F.col(content)).alias("t"))
+    counted = F.array(*[F.struct(F.lit(k).alias("rule"), F.greatest(F.regexp_count("t.narrow", F.lit(p)), F.regexp_count("t.wide", F.lit(p))).alias("n_found")) for k, p in (rules or RULES).items()])
+    return read.withColumn("r", F.explode(counted)).filter("r.n_found > 0").select(key, "r.rule", "r.n_found")
+
+
 def json_leaves(rows: DataFrame, key: str, document: str) -> DataFrame:
     """key, path, value of every leaf of JSON documents, at any depth; documents that do not parse have one row with path null."""
     schema = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
