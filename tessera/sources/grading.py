@@ -233,3 +233,62 @@ def choice_keys(nodes: DataFrame) -> DataFrame:
     options = F.transform("options", lambda o, i: F.struct(o.alias("ident"), F.get("right", i).alias("correct"), F.get("placed", i).alias("place")))
     scoring = F.when(C("reason").isNotNull(), "unknown").otherwise(F.element_at(F.create_map(*[F.lit(x) for x in ("one", "exact", "several", "all_or_nothing", "order", "exact")]), C("kind")))
     return judged.select(*ITEM, "ident", C("entry").alias("kind"), options.alias("options"), scoring.alias("scoring"), C("reason").isNull().alias("recognized"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+# The one form of short answers that is read: tag, depth below the item's part, attributes, text.
+AWARD = "100.000000000"
+SHORT_HEAD = [
+    "presentation 0", "flow 1", "material 2", "mattext 3 texttype=text/html", "response_extension 2", "grading_type 3 '0'", "response_str 2 rcardinality=Single", "render_fib 3", "response_label 4",
+    "resprocessing 0", "outcomes 1", "decvar 2 maxvalue=100,minvalue=0,varname=Blank_1,vartype=Integer",
+]
+SHORT_VALUE = ["respcondition 1", "conditionvar 2", "varequal 3 case=no", f"setvar 2 action=Set '{AWARD}'"]
+SHORT_TAIL = ["respcondition 1", "conditionvar 2", "other 3", "setvar 2 action=Set,varname=que_score 'D2L_Correct'"]
+BOXES = ["columns=20,fibtype=String,prompt=Box,rows=0", "columns=60,fibtype=String,prompt=Box,rows=1"]
+MOST_SYNONYMS = 5
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def short_answers(nodes: DataFrame) -> DataFrame:
+    """Short answers of the one closed form, with one to five synonyms: ident, prompt (HTML), answers in order, weight.
+
+    An item's presentation and scoring must be, element for element, that form; only the prompt, the answers, the
+    identifiers and the size of the box are its own.  Items with feedback, with metadata that is absent, repeated
+    or at odds, or with a weight that is no positive number, have no row."""
+    tag, own = C("tag"), nodes.filter("item_node IS NOT NULL")
+    attrs = F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.struct(e.key, e.value)))
+
+    def said(names_left_out: Column) -> Column:
+        return F.array_join(F.transform(F.filter(attrs, lambda e: ~F.array_contains(names_left_out, e.key)), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+
+    # what is an item's own is left out of the line: identifiers, the box, the prompt and the answers
+    free = F.when(tag.isin("response_str", "response_label"), _strings(["ident"])).when(tag == "varequal", _strings(["respident"])).when(tag == "render_fib", _strings(["rows", "columns", "prompt", "fibtype"])).otherwise(F.array().cast("array<string>"))
+    text = F.coalesce("text", F.lit(""))
+    exact = F.when(tag.isin("mattext", "varequal"), "").when(tag.isin("grading_type", "setvar"), text).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    line = F.concat_ws(" ", tag, (C("depth") - C("top")).cast("string"), F.nullif(said(free), F.lit("")), F.when(exact != "", F.concat(F.lit("'"), exact, F.lit("'"))))
+    tops = own.filter("tag IN ('presentation', 'resprocessing')").select(*ITEM, "node_id", C("depth").alias("top"))
+    first = tops.groupBy(*ITEM).agg(F.min("top").alias("top"), F.min("node_id").alias("first_part"))
+    # metadata comes before the presentation; whatever follows it belongs to the form
+    parts = own.join(first, ITEM).filter("node_id >= first_part").withColumns({"line": line, "tail_is_empty": F.trim(F.regexp_replace(F.coalesce("tail", F.lit("")), r"\s+", " ")) == ""})
+    form = F.array_sort(F.collect_list(F.struct("node_id", "line", "tag", text.alias("text"), C("attrs.ident").alias("ident"), C("attrs.respident").alias("respident"), said(F.array().cast("array<string>")).alias("attributes"))))
+    rows = parts.groupBy(*ITEM).agg(form.alias("form"), F.bool_and("tail_is_empty").alias("tails_are_empty"))
+    labels = own.filter("tag = 'fieldlabel' AND text IN ('qmd_questiontype', 'qmd_computerscored', 'qmd_weighting')").select(*ITEM, "parent_id", C("text").alias("label"))
+    entries = own.filter("tag = 'fieldentry'").select(*ITEM, "parent_id", F.coalesce("text", F.lit("")).alias("entry"))
+    meta = labels.join(entries, [*ITEM, "parent_id"]).groupBy(*ITEM).agg(F.count("*").alias("n_meta"), *[F.max(F.when(C("label") == f"qmd_{n}", C("entry"))).alias(n) for n in ("questiontype", "computerscored", "weighting")])
+    weight = F.expr(f"try_cast(weighting AS {_NUMBER})")
+    meta = meta.filter((C("n_meta") == 3) & (C("questiontype") == "Short Answer") & (C("computerscored") == "yes") & (weight > 0) & (C("weighting") == F.trim("weighting")))
+    ident = own.filter("tag = 'item'").select(*ITEM, C("attrs.ident").alias("ident"))
+
+    def of(name: str) -> Column:
+        return F.filter("form", lambda x: x.tag == name)
+
+    lines, values = F.transform("form", lambda x: x.line), F.transform(of("varequal"), lambda x: x.text)
+    label = _at(of("response_label"), 1)
+    wanted = F.concat(_strings(SHORT_HEAD), F.flatten(F.array_repeat(_strings(SHORT_VALUE), F.size(values))), _strings(SHORT_TAIL))
+    holds = (lines == wanted) & C("tails_are_empty") & F.size(values).between(1, MOST_SYNONYMS) & (F.size(F.array_distinct(values)) == F.size(values))
+    holds &= F.forall(values, lambda v: (v != "") & (v == F.regexp_replace(v, r"^\s+|\s+$", "")) & ~v.contains(" || "))
+    holds &= (F.coalesce(label.ident, F.lit("")) != "") & (F.coalesce(_at(of("response_str"), 1).ident, F.lit("")) != "") & F.forall(of("varequal"), lambda x: x.respident == label.ident) & _at(of("render_fib"), 1).attributes.isin(BOXES)
+    judged = rows.join(meta, ITEM).join(ident, ITEM).filter(holds)
+    return judged.select(*ITEM, "ident", _at(of("mattext"), 1).text.alias("prompt"), values.alias("answers"), weight.alias("weight"), _at(of("render_fib"), 1).attributes.alias("box"))

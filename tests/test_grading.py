@@ -92,3 +92,24 @@ def test_choice_keys(keys, name):
         assert "".join(f"{o.ident}{o.place}" for o in found.options) == marks
     else:
         assert "".join(o.ident for o in found.options if o.correct) == marks and all(o.correct is not None for o in found.options)
+
+
+def short(ident, values, weight="1.0", award=None, case="no", box='rows="0" columns="20"', more="", extra=""):
+    meta = "".join(f"<f><fieldlabel>qmd_{k}</fieldlabel><fieldentry>{v}</fieldentry></f>" for k, v in (("questiontype", "Short Answer"), ("computerscored", "yes"), ("weighting", weight)))
+    tests = "".join(f'<respcondition><conditionvar><varequal respident="L" case="{case}">{v}</varequal></conditionvar><setvar action="Set">{award or grading.AWARD}</setvar></respcondition>' for v in values)
+    return f"""<item ident="{ident}"><itemmetadata>{meta}</itemmetadata>
+  <presentation><flow><material><mattext texttype="text/html">&lt;p&gt;who?&lt;/p&gt;</mattext></material><response_extension><grading_type>0</grading_type></response_extension>
+  <response_str ident="S" rcardinality="Single"><render_fib {box} prompt="Box" fibtype="String"><response_label ident="L"/></render_fib></response_str></flow></presentation>
+  <resprocessing>{extra}<outcomes><decvar vartype="Integer" minvalue="0" maxvalue="100" varname="Blank_1"/></outcomes>{tests}
+  <respcondition><conditionvar><other/></conditionvar><setvar varname="que_score" action="Set">D2L_Correct</setvar></respcondition></resprocessing>{more}</item>"""
+
+
+def test_short_answers_of_the_closed_form_only(spark, tmp_path):
+    parts = {
+        "good": short("good", ["Ada", "Lovelace"]), "wide": short("wide", list("abcde"), weight="2.50", box='rows="1" columns="60"'), "many": short("many", list("abcdef")), "none": short("none", []),
+        "twice": short("twice", ["a", "a"]), "cased": short("cased", ["a"], case="yes"), "award": short("award", ["a"], award="50"), "weight": short("weight", ["a"], weight="0"), "blank": short("blank", [" a"]),
+        "bars": short("bars", ["a || b"]), "box": short("box", ["a"], box='rows="2" columns="20"'), "feedback": short("feedback", ["a"], more='<itemfeedback ident="F"/>'), "text": short("text", ["a"], extra="loose"), "order": short("order", ["a"], extra="<outcomes/>"),
+    }
+    (tmp_path / "q.xml").write_text("<q>" + "".join(parts.values()) + "</q>")
+    found = {r.ident: (r.prompt, list(r.answers), float(r.weight)) for r in grading.short_answers(exports.read_nodes(exports.read_files(spark, str(tmp_path)))).collect()}
+    assert found == {"good": ("<p>who?</p>", ["Ada", "Lovelace"], 1.0), "wide": ("<p>who?</p>", list("abcde"), 2.5)}
