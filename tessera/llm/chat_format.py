@@ -68,18 +68,31 @@ class RoleModel:
         self.move = np.log(move / move.sum(1, keepdims=True))
         self.shows = [np.log(x / x.sum(1, keepdims=True)) for x in shows]
 
-    def decode(self, seen: np.ndarray) -> np.ndarray:
-        """The likeliest state of each line."""
+    def _fits(self, seen: np.ndarray, follows: bool) -> np.ndarray:
         fits = sum(table[:, seen[:, k]] for k, table in enumerate(self.shows)).T
-        fits[1:, 0::2][(seen[1:, 0] == 0) & (seen[1:, 2] == 1)] = -1e9  # a blank line without a marker opens no turn
-        best = self.first + fits[0]
+        later = seen if follows else seen[1:]
+        fits[len(seen) - len(later) :, 0::2][(later[:, 0] == 0) & (later[:, 2] == 1)] = -1e9  # a blank line without a marker opens no turn
+        return fits
+
+    def crossing(self, seen: np.ndarray) -> np.ndarray:
+        """The best score of a part's lines for each state before them, and last for none before them, and each state of the last line."""
+        fits = self._fits(seen, True)
+        best = np.vstack([self.move + fits[0], self.first + self._fits(seen[:1], False)[0]])
+        for fit in fits[1:]:
+            best = (best[:, :, None] + self.move).max(1) + fit
+        return best
+
+    def decode(self, seen: np.ndarray, enter: int | None = None, leave: int | None = None) -> np.ndarray:
+        """The likeliest state of each line; `enter` is that of the line before, `leave` that of the last, where they are known."""
+        fits = self._fits(seen, enter is not None)
+        best = (self.first if enter is None else self.move[enter]) + fits[0]
         back = np.zeros(fits.shape, np.int64)
         for t in range(1, len(fits)):
             way = best[:, None] + self.move
             back[t] = way.argmax(0)
             best = way.max(0) + fits[t]
         path = np.empty(len(fits), np.int64)
-        path[-1] = best.argmax()
+        path[-1] = best.argmax() if leave is None else leave
         for t in range(len(fits) - 1, 0, -1):
             path[t - 1] = back[t, path[t]]
         return path
@@ -118,18 +131,25 @@ def learn(known: DataFrame) -> RoleModel:
     return RoleModel(rows.groupBy("kind", "state", "value").agg(F.sum("times").alias("times")).toPandas())
 
 
-def parse_text(text: str | None, model: RoleModel) -> list[dict]:
-    """The turns of one transcript; blank lines at a turn's end are dropped."""
+def _turns(text: str | None, model: RoleModel, enter: int | None = None, leave: int | None = None) -> tuple[list[dict], bool]:
+    """The turns between given states (of the line before, of the last line), and whether the first goes on the one before."""
     if not text or not text.strip():
-        return []
+        return [], False
     lines = text.split("\n")
+    path = model.decode(observe(lines), enter, leave)
+    goes_on = enter is not None and path[0] % 2 == 1
     turns: list[dict] = []
-    for line, state in zip(lines, model.decode(observe(lines)), strict=True):
-        if state % 2 == 0 or not turns:
-            turns.append({"role": ROLES[state // 2], "lines": [line[marker(line)[1] :]]})
+    for i, (line, state) in enumerate(zip(lines, path, strict=True)):
+        if i == 0 or state % 2 == 0:
+            turns.append({"role": ROLES[state // 2], "lines": [line if i == 0 and goes_on else line[marker(line)[1] :]]})
         else:
             turns[-1]["lines"].append(line)
-    return [{"role": t["role"], "text": "\n".join(t["lines"]).rstrip("\n")} for t in turns]
+    return [{"role": t["role"], "text": "\n".join(t["lines"]).rstrip("\n")} for t in turns], goes_on
+
+
+def parse_text(text: str | None, model: RoleModel) -> list[dict]:
+    """The turns of one transcript; blank lines at a turn's end are dropped."""
+    return _turns(text, model)[0]
 
 
 def parse(transcripts: DataFrame, model: RoleModel, text: str = "text") -> DataFrame:
@@ -143,6 +163,61 @@ def parse(transcripts: DataFrame, model: RoleModel, text: str = "text") -> DataF
     return transcripts.withColumn("turns", parsed(F.col(text)))
 
 
+def ways(crossings: list[np.ndarray | None]) -> list[tuple[int | None, int | None]]:
+    """The states before and at the end of each part of a transcript on its likeliest path; a part without lines (None) changes nothing."""
+    best, backs = None, []
+    for m in crossings:
+        if m is None:
+            backs.append(None)
+        elif best is None:
+            best = m[STATES]
+            backs.append(None)
+        else:
+            way = best[:, None] + m[:STATES]
+            backs.append(way.argmax(0))
+            best = way.max(0)
+    out: list[tuple[int | None, int | None]] = [(None, None)] * len(crossings)
+    state = None if best is None else int(best.argmax())
+    for i in range(len(crossings) - 1, -1, -1):
+        if crossings[i] is None:
+            continue
+        before = None if backs[i] is None else int(backs[i][state])
+        out[i], state = (before, state), before
+    return out
+
+
+def parse_parts(parts: DataFrame, model: RoleModel, key: str, part: str = "part", text: str = "text") -> DataFrame:
+    """Adds turns, as `parse`, and continues: whether the first turn goes on that of the part before.
+
+    Parts of one key are one transcript, in the order of their numbers, which may not repeat within a key; a null key
+    is a key.  What crosses a cut is carried exactly: each part sends the 42 scores between the states before it, if any,
+    and at its end, these are folded for each key of several parts, and each part is then decoded between the states that
+    the fold gives.  No text leaves its part.  A turn over a cut is two turns of the same role."""
+    sent = parts.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def crossed(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.crossing(observe(t.split("\n"))).ravel() if t and t.strip() else None for t in texts], dtype=object)
+
+    def folded(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__part")
+        found = ways([None if c is None else np.asarray(c).reshape(-1, STATES) for c in frame["__way"]])
+        return pd.DataFrame({"__key": frame["__key"].to_numpy(), "__part": frame["__part"].to_numpy(), "__enter": pd.array([a for a, _ in found], "Int32"), "__leave": pd.array([b for _, b in found], "Int32")})
+
+    @F.pandas_udf("struct<turns:array<struct<role:string,text:string>>,continues:boolean>")
+    def parsed(texts: pd.Series, enter: pd.Series, leave: pd.Series) -> pd.DataFrame:
+        states = [[None if pd.isna(x) else int(x) for x in column] for column in (enter, leave)]
+        return pd.DataFrame([_turns(t, sent.value, a, b) for t, a, b in zip(texts, *states, strict=True)], columns=["turns", "continues"])
+
+    named = parts.select(F.col(key).alias("__key"), F.col(part).alias("__part"), F.col(text).alias("__text"))
+    several = named.groupBy(F.col("__key").alias("__k")).agg(F.count("*").alias("__n")).filter("__n > 1")
+    cut = named.join(several, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__part", crossed("__text").alias("__way"))
+    kinds = f"__key {parts.schema[key].dataType.simpleString()}, __part {parts.schema[part].dataType.simpleString()}, __enter int, __leave int"
+    between = cut.groupBy("__key").applyInPandas(folded, kinds)
+    found = parts.join(between, F.col(key).eqNullSafe(F.col("__key")) & (F.col(part) == F.col("__part")), "left").withColumn("__found", parsed(F.col(text), "__enter", "__leave"))
+    return found.withColumns({"turns": F.col("__found.turns"), "continues": F.col("__found.continues")}).drop("__key", "__part", "__enter", "__leave", "__found")
+
+
 def rendered(turns: Column) -> Column:
     """Canonical text of turns: each between its role's opening mark and an end mark."""
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit("<|"), t.role, F.lit("|>\n"), F.coalesce(t.text, F.lit("")), F.lit("\n<|end|>\n"))), "")
@@ -153,7 +228,7 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 
     A conversation uses one of three ways to mark speakers, by the CRC of its id; every fourth
     turn, by the CRC of its id and number, has no mark at all.  Parts hold `PART_TURNS` numbers,
-    so that no group grows without bound.  Null texts are empty, a null role is written unmarked."""
+    so that no group grows without bound where numbers do not repeat; null numbers count as 0.  Null texts are empty, a null role is written unmarked."""
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(3))
     bare = F.pmod(F.crc32(F.concat_ws(":", "conv_id", "turn")), F.lit(4)) == 0
     role = F.col("role")
@@ -172,11 +247,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     made = as_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     model = learn(made.filter(F.coalesce(~held_out, F.lit(False))))
     given = made.withColumn("given", F.transform("turns", lambda t: t.role)).drop("turns")
-    found = parse(given, model).withColumn("roles", F.transform("turns", lambda t: t.role))
+    found = parse_parts(given, model, "conv_id").withColumn("roles", F.transform("turns", lambda t: t.role))
     right = F.size(F.filter(F.arrays_zip("roles", "given"), lambda x: x.roles == x.given))
     return found.select(
         "conv_id",
         "part",
+        "continues",
         F.coalesce(held_out, F.lit(True)).alias("held_out"),
         F.size("given").cast("long").alias("n_given"),
         F.size("turns").cast("long").alias("n_turns"),

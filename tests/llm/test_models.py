@@ -211,6 +211,32 @@ def test_viterbi_states_are_the_likeliest():
     assert score(best) == pytest.approx(score(tuple(model.decode(seen))))
 
 
+def test_parts_are_decoded_as_the_whole_transcript(spark):
+    draw = np.random.default_rng(7)
+    turns = [(c, t, "system" if t == 0 else ("user", "assistant")[t % 2], f"{'why' if t % 2 else 'because ' * int(draw.integers(1, 30))} {t}" + "\nmore\n" * int(draw.integers(0, 2)) + "?" * int(draw.integers(0, 2))) for c in range(12) for t in range(9)]
+    model = chat_format.learn(chat_format.as_transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    texts = ["\n".join(f"{r.title()}: {x}" if draw.random() < 0.5 else x for c2, _, r, x in turns if c2 == c) for c in range(12)]
+    parts, wholes = [], {}
+    for c, whole in enumerate(texts):
+        lines = whole.split("\n")
+        path = model.decode(chat_format.observe(lines))
+        cuts = sorted({0, len(lines), *draw.integers(1, len(lines), c % 4).tolist()})
+        pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+        ways = chat_format.ways([model.crossing(chat_format.observe(lines[a:b])) for a, b in pieces])
+        states = [model.decode(chat_format.observe(lines[a:b]), *way) for (a, b), way in zip(pieces, ways, strict=True)]
+        assert np.concatenate(states).tolist() == path.tolist()
+        for i, (a, b) in enumerate(pieces):
+            parts.append((None if c == 0 else c, i, "\n".join(lines[a:b]), "kept"))
+            wholes[None if c == 0 else c, i] = (bool(i and path[a] % 2), [chat_format.ROLES[s // 2] for k, s in enumerate(path[a:b]) if k == 0 or s % 2 == 0], any(x.strip() for x in lines[a:b]))
+    parts += [(50, 0, None, "kept"), (50, 1, "User: hi", "kept"), (50, 2, " ", "kept"), (50, 3, "well", "kept")]
+    found = {(r.conv_id, r.part): r for r in chat_format.parse_parts(spark.createDataFrame(parts, "conv_id long, part long, text string, turns string"), model, "conv_id").collect()}
+    assert len(found) == len(parts)
+    for key, (continues, roles, has_text) in wholes.items():
+        assert ([t.role for t in found[key].turns], found[key].continues) == ((roles, continues) if has_text else ([], False))
+    assert [len(found[50, i].turns) for i in range(4)] == [0, 1, 0, 1] and not found[50, 1].continues
+    assert chat_format.ways([]) == []
+
+
 def test_transcripts_come_apart_into_turns(spark):
     turns = [(i, t, ("user", "assistant")[t % 2], f"{'why' if t % 2 == 0 else 'because ' * 30} {i} {t}" + ("\nmore" if t % 2 else "?")) for i in range(40) for t in range(4)]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
