@@ -189,8 +189,8 @@ def ways(crossings: list[np.ndarray | None]) -> list[tuple[int | None, int | Non
 def parse_parts(parts: DataFrame, model: RoleModel, key: str, part: str = "part", text: str = "text") -> DataFrame:
     """Adds turns, as `parse`, and continues: whether the first turn goes on that of the part before.
 
-    Parts of one key are one transcript, in the order of their numbers, which may not repeat within a key; a null key
-    is a key.  What crosses a cut is carried exactly: each part sends the 42 scores between the states before it, if any,
+    Parts of one key are one transcript, in the order of their numbers, which may not repeat within a key; parts
+    without a key or number are transcripts of their own.  What crosses a cut is carried exactly: each part sends the 42 scores between the states before it, if any,
     and at its end, these are folded for each key of several parts, and each part is then decoded between the states that
     the fold gives.  No text leaves its part.  A turn over a cut is two turns of the same role."""
     sent = parts.sparkSession.sparkContext.broadcast(model)
@@ -209,12 +209,13 @@ def parse_parts(parts: DataFrame, model: RoleModel, key: str, part: str = "part"
         states = [[None if pd.isna(x) else int(x) for x in column] for column in (enter, leave)]
         return pd.DataFrame([_turns(t, sent.value, a, b) for t, a, b in zip(texts, *states, strict=True)], columns=["turns", "continues"])
 
+    # joined by key and number throughout, as such parts are dealt by the aggregate that made them: no text moves again
     named = parts.select(F.col(key).alias("__key"), F.col(part).alias("__part"), F.col(text).alias("__text"))
-    several = named.groupBy(F.col("__key").alias("__k")).agg(F.count("*").alias("__n")).filter("__n > 1")
-    cut = named.join(several, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__part", crossed("__text").alias("__way"))
+    several = named.groupBy("__key").agg(F.count("*").alias("__n")).filter("__n > 1").select("__key")
+    cut = named.join(named.select("__key", "__part").join(several, "__key"), ["__key", "__part"], "left_semi").select("__key", "__part", crossed("__text").alias("__way"))
     kinds = f"__key {parts.schema[key].dataType.simpleString()}, __part {parts.schema[part].dataType.simpleString()}, __enter int, __leave int"
     between = cut.groupBy("__key").applyInPandas(folded, kinds)
-    found = parts.join(between, F.col(key).eqNullSafe(F.col("__key")) & (F.col(part) == F.col("__part")), "left").withColumn("__found", parsed(F.col(text), "__enter", "__leave"))
+    found = parts.join(between, (F.col(key) == F.col("__key")) & (F.col(part) == F.col("__part")), "left").withColumn("__found", parsed(F.col(text), "__enter", "__leave"))
     return found.withColumns({"turns": F.col("__found.turns"), "continues": F.col("__found.continues")}).drop("__key", "__part", "__enter", "__leave", "__found")
 
 

@@ -226,14 +226,16 @@ def test_parts_are_decoded_as_the_whole_transcript(spark):
         states = [model.decode(chat_format.observe(lines[a:b]), *way) for (a, b), way in zip(pieces, ways, strict=True)]
         assert np.concatenate(states).tolist() == path.tolist()
         for i, (a, b) in enumerate(pieces):
-            parts.append((None if c == 0 else c, i, "\n".join(lines[a:b]), "kept"))
-            wholes[None if c == 0 else c, i] = (bool(i and path[a] % 2), [chat_format.ROLES[s // 2] for k, s in enumerate(path[a:b]) if k == 0 or s % 2 == 0], any(x.strip() for x in lines[a:b]))
-    parts += [(50, 0, None, "kept"), (50, 1, "User: hi", "kept"), (50, 2, " ", "kept"), (50, 3, "well", "kept")]
+            parts.append((c, i, "\n".join(lines[a:b]), "kept"))
+            wholes[c, i] = (bool(i and path[a] % 2), [chat_format.ROLES[s // 2] for k, s in enumerate(path[a:b]) if k == 0 or s % 2 == 0], any(x.strip() for x in lines[a:b]))
+    parts += [(50, 0, None, "kept"), (50, 1, "User: hi", "kept"), (50, 2, " ", "kept"), (50, 3, "well", "kept"), (None, 0, "User: hi", "kept"), (None, 1, "AI: yes", "kept"), (51, None, "AI: yes", "kept")]
     found = {(r.conv_id, r.part): r for r in chat_format.parse_parts(spark.createDataFrame(parts, "conv_id long, part long, text string, turns string"), model, "conv_id").collect()}
     assert len(found) == len(parts)
     for key, (continues, roles, has_text) in wholes.items():
         assert ([t.role for t in found[key].turns], found[key].continues) == ((roles, continues) if has_text else ([], False))
     assert [len(found[50, i].turns) for i in range(4)] == [0, 1, 0, 1] and not found[50, 1].continues
+    for key, alone in (((None, 0), "User: hi"), ((None, 1), "AI: yes"), ((51, None), "AI: yes")):
+        assert [t.asDict() for t in found[key].turns] == chat_format.parse_text(alone, model) and not found[key].continues
     assert chat_format.ways([]) == []
 
 
