@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, language_id, mixing, recurrent_lm, spotsigs, substring_dedup, token_count, toxicity
+from . import chat_format, decontaminate, hard_negatives, jaccard_join, language_id, mixing, prefix_trie, recurrent_lm, sharding, spotsigs, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_recurrent_lm": recurrent_lm.query,
     "op9_decontaminate": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_rendezvous_shards": sharding.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op6_mixing": mixing.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_rendezvous_shards": sharding.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
