@@ -44,3 +44,27 @@ def numbered(rows: DataFrame, kind: str, order: list[Column]) -> DataFrame:
 def placed(rows: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
     """Adds place: 1 for the first row of each group in order."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+
+
+def nested(rows: DataFrame, key: str, order: list[Column], columns: list[str], part_rows: int = 1000) -> DataFrame:
+    """key, part, n_rows, first_number, rows: the rows of each key in order as structs of `columns`, cut into parts of `part_rows`.
+
+    Most keys have one part, 0; of a key with very many rows no task holds more than a part."""
+    numbered = row_numbers(rows, [key], order, "__n").withColumn("part", F.floor((F.col("__n") - 1) / part_rows))
+    parts = numbered.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("__n", *columns))).alias("__rows"))
+    return parts.select(key, "part", F.size("__rows").cast("long").alias("n_rows"), F.element_at("__rows", 1)["__n"].cast("long").alias("first_number"), F.transform("__rows", lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias("rows"))
+
+
+def linked_views(entities: DataFrame, occurrences: DataFrame, key: str, order: list[Column], columns: list[str], part_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Entities with their occurrences nested (in parts, as `nested` cuts them), and what does not fit.
+
+    The view has the columns of entities, part, n_rows and rows; an entity without occurrences has one part without rows.
+    Issues: key, code, n. `orphaned` occurrences name no entity, `unplaced` entities have no occurrence, `repeated` keys
+    stand for several entities, whose occurrences then appear with each."""
+    view = entities.join(nested(occurrences.filter(F.col(key).isNotNull()), key, order, columns, part_rows).drop("first_number"), key, "left")
+    view = view.withColumns({"part": F.coalesce("part", F.lit(0)), "n_rows": F.coalesce("n_rows", F.lit(0))})
+    known, used = entities.groupBy(key).agg(F.count("*").alias("n_known")), occurrences.groupBy(key).agg(F.count("*").alias("n_used"))
+    both = known.join(used, known[key].eqNullSafe(used[key]), "full_outer").select(F.coalesce(known[key], used[key]).alias(key), "n_known", "n_used")
+    found = {"orphaned": (F.col("n_known").isNull(), "n_used"), "unplaced": (F.col("n_used").isNull(), "n_known"), "repeated": (F.col("n_known") > 1, "n_known")}
+    each = F.explode(F.filter(F.array(*[F.when(holds, F.struct(F.lit(code).alias("code"), F.col(n).alias("n"))) for code, (holds, n) in found.items()]), lambda x: x.isNotNull()))
+    return view, both.select(key, each.alias("v")).select(key, "v.code", "v.n")
