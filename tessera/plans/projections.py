@@ -106,7 +106,11 @@ def tolerant_candidates(spark, d):
     return table(spark, d, "events").select("event_id", F.size(found).alias("n_candidates"), listed.alias("listed"))
 
 
-TOLERANT_CANDIDATES = "SELECT event_id, CASE WHEN event_id%3=0 THEN 2 ELSE 0 END AS n_candidates, CASE WHEN event_id%3=0 THEN 'a' || event_id || ' (0.9) | b' ELSE '' END AS listed FROM events"
+TOLERANT_CANDIDATES = """
+WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[{"key":"a' || event_id || '","score":0.9},{"key":"b"}]' WHEN 1 THEN 'broken [' END AS body FROM events),
+l AS (SELECT event_id, coalesce(from_json(TRY_CAST(body AS JSON), '[{"key":"VARCHAR","score":"DOUBLE"}]'), []) AS found FROM b)
+SELECT event_id, len(found) AS n_candidates, array_to_string(list_transform(found, lambda x: concat(x.key, ' (' || x.score || ')')), ' | ') AS listed FROM l
+"""
 
 
 def variant_channels(spark, d):
@@ -130,8 +134,11 @@ def asset_sources(spark, d):
 
 
 ASSET_SOURCES = """
-WITH m AS (SELECT p_partkey AS k, p_partkey%5>0 AND p_partkey%3=0 AS a, p_partkey%50 IN (SELECT p_partkey FROM part WHERE p_partkey<25) AS b FROM part)
-SELECT k AS p_partkey, CASE WHEN a THEN 0 WHEN b THEN 2 END AS place, CASE WHEN a THEN 'src/' || k WHEN b THEN 'copy/' || (k%50) END AS path, CASE WHEN a THEN 'resolved' WHEN NOT b THEN 'absent' WHEN k%2=0 THEN 'mismatch' ELSE 'resolved' END AS state FROM m
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN sha256('src/' || p_partkey) END AS expected, [CASE WHEN p_partkey % 5 > 0 THEN 'src/' || p_partkey END, 'other/' || p_partkey, 'copy/' || (p_partkey % 50)] AS tried FROM part),
+f AS (SELECT 'src/' || p_partkey AS path FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'other/' || p_partkey FROM part UNION SELECT 'copy/' || p_partkey FROM part WHERE p_partkey < 25),
+t AS (SELECT p_partkey, unnest(tried) AS path, unnest(range(len(tried))) AS place FROM p),
+h AS (SELECT p_partkey, min((place, path)) AS best FROM t JOIN f USING (path) WHERE split_part(path, '/', 1) IN ('src', 'copy') GROUP BY 1)
+SELECT p_partkey, CAST(best[1] AS INTEGER) AS place, best[2] AS path, CASE WHEN best IS NULL THEN 'absent' WHEN sha256(best[2]) <> expected THEN 'mismatch' ELSE 'resolved' END AS state FROM p LEFT JOIN h USING (p_partkey)
 """
 
 
@@ -180,14 +187,14 @@ def catalog_keys(spark, d):
 
 CATALOG_KEYS = "SELECT o_orderstatus AS kind, CASE o_orderstatus WHEN 'F' THEN 'order ' || o_orderkey ELSE 'customer ' || o_custkey END AS catalog_key, count(*) AS n_records FROM orders WHERE o_orderstatus IN ('F','O') GROUP BY 1,2"
 
-_ACTIONS = {"stale": "review again", "conflict": "decide between revisions"}
+_ACTIONS = {"view": "review again", "click": "decide between revisions"}
 
 
 def promotion_exclusions(spark, d):
     """What receipts leave out, why, and what comes next; entries that are no objects are passed over."""
-    e = table(spark, d, "events").filter("event_id % 2 = 0")
+    e = table(spark, d, "events")
     number = C("event_id").cast("string")
-    body = F.concat(F.lit('{"excluded":[{"id":"'), number, F.lit('-1","reason":"'), F.when(C("event_id") % 4 == 0, "stale").otherwise("conflict"), F.lit('"},{"id":"'), number, F.lit('-2"},'), F.when(C("event_id") % 6 == 0, "null").otherwise(F.concat(F.lit('{"id":"'), number, F.lit('-3","reason":""}'))), F.lit("]}"))
+    body = F.concat(F.lit('{"excluded":[{"id":"'), number, F.lit('-1","reason":"'), "event_type", F.lit('"},{"id":"'), number, F.lit('-2"},'), F.when(C("event_type") == "error", "null").otherwise(F.concat(F.lit('{"id":"'), number, F.lit('-3","reason":""}'))), F.lit("]}"))
     rows = e.select(F.explode(F.from_json(body, "excluded array<struct<id:string,reason:string>>").excluded).alias("x")).filter("x.id IS NOT NULL")
     reason = F.coalesce(F.nullif("x.reason", F.lit("")), F.lit("unspecified_exclusion"))
     action = F.coalesce(*[F.when(reason == k, v) for k, v in _ACTIONS.items()], F.lit("look at the record"))
@@ -195,8 +202,9 @@ def promotion_exclusions(spark, d):
 
 
 PROMOTION_EXCLUSIONS = """
-WITH e AS (SELECT event_id FROM events WHERE event_id%2=0), x AS (SELECT event_id || '-1' AS annotation, CASE WHEN event_id%4=0 THEN 'stale' ELSE 'conflict' END AS reason FROM e UNION ALL SELECT event_id || '-2', 'unspecified_exclusion' FROM e UNION ALL SELECT event_id || '-3', 'unspecified_exclusion' FROM e WHERE event_id%6<>0)
-SELECT *, CASE reason WHEN 'stale' THEN 'review again' WHEN 'conflict' THEN 'decide between revisions' ELSE 'look at the record' END AS next_action FROM x
+WITH b AS (SELECT concat('{"excluded":[{"id":"', event_id, '-1","reason":"', event_type, '"},{"id":"', event_id, '-2"},', CASE WHEN event_type = 'error' THEN 'null' ELSE '{"id":"' || event_id || '-3","reason":""}' END, ']}') AS body FROM events),
+x AS (SELECT unnest(from_json(json_extract(body, '$.excluded'), '[{"id":"VARCHAR","reason":"VARCHAR"}]')) AS x FROM b), r AS (SELECT x.id AS annotation, coalesce(nullif(x.reason, ''), 'unspecified_exclusion') AS reason FROM x WHERE x.id IS NOT NULL)
+SELECT *, CASE reason WHEN 'view' THEN 'review again' WHEN 'click' THEN 'decide between revisions' ELSE 'look at the record' END AS next_action FROM r
 """
 
 
