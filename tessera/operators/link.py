@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
 
+from .graph import kept
+
 SIMILAR, LEAD = 0.95, 0.03
 
 
@@ -56,24 +56,46 @@ def resolve_refs(refs: DataFrame, files: DataFrame, ref: str = "ref", path: str
     return joined.select(*refs.columns, F.when(found.isNull(), "missing").otherwise("resolved").alias("status"), basis.alias("basis"), found.alias("resolved_path"))
 
 
-def length_bands(length: Column, step: float) -> Column:
-    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / math.log(1 / step)).cast("long")
+def grams_needed(n: Column, least: float, size: int) -> Column:
+    """How many grams two texts of n characters together share at least, if their ratio is `least` or more.
+
+    Of n characters at most (1 - least) n are not in matching blocks, and between two blocks is one at least. m matching
+    characters in b blocks share m - b (size - 1) grams."""
+    return F.ceil(n * (least / 2 - (1 - least) * (size - 1)) - (size - 1) - 1e-9)
+
+
+def _prefixes(texts: DataFrame, least: float, size: int) -> DataFrame:
+    """side, id, length, token: of each text the rarest grams, as many as any text of a fitting length must share one of.
+
+    A gram that occurs k times in a text is k tokens, so that what two texts share counts as often as it occurs in both."""
+    n = F.length("text")
+    grams = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("text"), i, size))
+    each = texts.filter(n >= size).select("side", F.xxhash64("text").alias("id"), n.alias("length"), F.explode(grams).alias("gram")).groupBy("side", "id", "length", "gram").agg(F.count("*").alias("n"))
+    tokens = kept(each.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("side", "id", "length", F.xxhash64("gram", "k").alias("token")))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    shortest = F.ceil(F.col("length") * (least / (2 - least)) - 1e-9)
+    most = F.col("length") - size + 1 - F.greatest(grams_needed(F.col("length") + shortest, least, size), F.lit(1)) + 1
+    rank = F.row_number().over(Window.partitionBy("side", "id", "length").orderBy("df", "token"))
+    return tokens.join(counts, "token").withColumn("rank", rank).filter(F.col("rank") <= most).select("side", "id", "length", "token")
 
 
-def similarity_candidates(items: DataFrame, records: DataFrame, item: str, record: str, key: str, block: Column | None = None, least: float = SIMILAR - LEAD) -> DataFrame:
-    """Pairs that could reach `least`, scored. A ratio is at most 2 min / (min + max) of the lengths, so only
-    neighbouring length bands are joined; `least` is below the threshold by the lead, so that no runner-up hides.
+def similarity_candidates(items: DataFrame, records: DataFrame, item: str, record: str, key: str, least: float = SIMILAR - LEAD) -> DataFrame:
+    """Pairs that reach `least`, scored; `least` is below the threshold by the lead, so that no runner-up hides.
 
-    A key that many items or records share is compared once."""
-    step = least / (2 - least)
+    Texts that could reach it share one of their rarest grams (prefixes, by how many grams they must share), so only
+    texts that do, and whose lengths fit, are compared; none is missed. Equal texts need no gram. A text that many
+    items or records have is compared once. Hashes of texts only propose pairs: what is compared are the texts."""
+    size = 2 if 1.5 * least - 1 >= 0.2 else 1
     a = items.filter(F.col(key) != "").groupBy(F.col(key).alias("__a")).agg(F.count("*").alias("__n"))
     b = records.filter(F.col(key) != "").groupBy(F.col(key).alias("__b")).agg(F.count("*").alias("__m"))
-    band = length_bands(F.length("__a"), step)
-    left = a.withColumn("__band", F.explode(F.array(band - 1, band, band + 1)))
-    right = b.withColumn("__band", length_bands(F.length("__b"), step))
-    shorter, longer = F.least(F.length("__a"), F.length("__b")), F.greatest(F.length("__a"), F.length("__b"))
-    pairs = left.join(right, "__band").filter(shorter >= step * longer).select("__a", "__b")
-    scored = pairs.withColumn("score", markup.ratio(F.col("__a"), F.col("__b"), least)).filter(F.col("score") >= least)
+    both = a.select(F.lit("a").alias("side"), F.col("__a").alias("text")).union(b.select(F.lit("b").alias("side"), F.col("__b").alias("text")))
+    prefixes = kept(_prefixes(both, least, size))
+    left, right = (prefixes.filter(F.col("side") == s).select(F.col("id").alias(f"__id_{s}"), F.col("length").alias(f"__l_{s}"), "token") for s in "ab")
+    shorter, longer = F.least("__l_a", "__l_b"), F.greatest("__l_a", "__l_b")
+    ids = left.join(right, "token").filter(shorter >= longer * (least / (2 - least)) - 1e-9).select("__id_a", "__id_b").distinct()
+    near = ids.join(a.select("__a", F.xxhash64("__a").alias("__id_a")), "__id_a").join(b.select("__b", F.xxhash64("__b").alias("__id_b")), "__id_b").select("__a", "__b").filter("__a <> __b")
+    equal = a.join(b, F.col("__a") == F.col("__b")).select("__a", "__b", F.lit(1.0).alias("score"))
+    scored = near.withColumn("score", markup.ratio(F.col("__a"), F.col("__b"), least)).filter(F.col("score") >= least).union(equal)
     return scored.join(items.select(item, F.col(key).alias("__a")), "__a").join(records.select(record, F.col(key).alias("__b")), "__b").select(item, record, F.round("score", 6).alias("score"))
 
 

@@ -234,3 +234,46 @@ def test_similarity_finds_what_comparing_all_pairs_finds(spark):
         if order[0][0] >= link.SIMILAR:
             sure = order[0][0] - order[1][0] >= link.LEAD
             assert best[i][0] == (-order[0][1] if sure else None)
+
+
+@pytest.mark.parametrize("least", [0.92, 0.7, 0.6])
+def test_similarity_misses_no_pair(spark, least):
+    import random
+    from difflib import SequenceMatcher
+
+    draw = random.Random(int(least * 100))
+    texts = ["", "a", "b", "aa", "ab", "abc", "abd", "ßü🙂", "ßü🙂x", "aaaaaaaaaaaa", "aaaaaaaaaaab", "a" * 300, "a" * 290 + "b" * 10, None]
+    for _ in range(25):
+        t = "".join(draw.choice("ab cé") for _ in range(draw.randint(3, 30)))
+        texts.append(t)
+        for _ in range(3):  # scattered changes, which leave the most blocks
+            u = list(t)
+            for _ in range(draw.randint(1, 3)):
+                at = draw.randrange(len(u) + 1)
+                u[at : at + draw.randint(0, 1)] = draw.choice(["", "x", "yz"])
+            texts.append("".join(u))
+    frame = spark.createDataFrame(list(enumerate(texts)), "item int, key string")
+    found = {(r.item, r.record): r.score for r in link.similarity_candidates(frame, frame.withColumnRenamed("item", "record"), "item", "record", "key", least).collect()}
+    wanted = {(i, k): SequenceMatcher(None, x, y).ratio() for i, x in enumerate(texts) for k, y in enumerate(texts) if x and y}
+    assert found == {k: pytest.approx(v, abs=1e-6) for k, v in wanted.items() if v >= least}
+
+
+def test_link_similarity_query_equals_all_pairs(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    from tessera.plans import linking
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.item_id: r.key for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", text.similarity_key(F.col("text")).alias("key")).collect()}
+    found = {r.item_id: r for r in linking.link_similarity(spark, folder).collect()}
+    for i, whole in texts.items():
+        words = re.split(" ", whole)
+        key = " ".join(words[: max(len(words) - i % 6, 1)])
+        scored = sorted(((-SequenceMatcher(None, key, t).ratio(), k) for k, t in texts.items() if t and key), key=lambda x: (round(x[0], 6), x[1]))
+        scored = [(-s, k) for s, k in scored if -s >= link.SIMILAR - link.LEAD]
+        if not scored:
+            assert i not in found
+            continue
+        sure = scored[0][0] >= link.SIMILAR and (len(scored) == 1 or round(scored[0][0] - scored[1][0], 6) >= link.LEAD)
+        assert (found[i].record_id, found[i].match_score) == (scored[0][1] if sure else None, pytest.approx(scored[0][0], abs=1e-6))
