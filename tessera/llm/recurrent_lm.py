@@ -32,7 +32,7 @@ from .lineage import checkpoint
 TABLE_ENTRIES = 1 << 19
 CLASSES, PER_CLASS, BUCKETS, HIDDEN = 32, 64, 256, 16
 ENTRIES = CLASSES * PER_CLASS
-WINDOW, LANES, COUNT_BYTES, SCORE_BYTES, OUTPUT_ROWS = 32, 512, 4 << 20, 8 << 20, 1 << 15
+WINDOW, LANES, COUNT_BYTES, SCORE_BYTES, OUTPUT_ROWS = 32, 512, 2 << 20, 2 << 20, 1 << 15
 #: Documents a trainer gets; rounds of averaging; bytes of text that its lanes share; tokens that a state goes on for.
 TRAINER_DOCS, ROUNDS, TRAIN_LANES, TRAIN_BYTES, PIECE, RATE = 4000, 2, 128, 4 << 20, 1024, 0.08
 #: Blocks of the weights, each averaged as a whole.
