@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -153,13 +154,18 @@ def _read(line: list[Token]) -> list[Token]:
         else:
             out.append(token)
             at += 1
-    for before, token in zip(out, out[1:], strict=False):
+    for at, (before, token) in enumerate(zip(out, out[1:], strict=False), 1):
         if before.text[-1:].isdigit() and re.fullmatch(r"[A-Za-z]", token.text):
             token.gap = False  # a factor
-        if token.text == "(" and re.fullmatch(r"[A-Za-z]{1,4}", before.text):
-            token.call = True
+        token.call |= token.text == "(" and bool(re.fullmatch(r"[A-Za-z]{1,4}", before.text)) and _is_argument(out[at + 1 :])
     return out
 
 
+def _is_argument(line: list[Token]) -> bool:
+    """Whether words, numbers and signs alone stand before the closing bracket."""
+    inside = list(itertools.takewhile(lambda t: re.fullmatch(r"[A-Za-z0-9]+|[-+*/=]", t.text), line))
+    return 0 < len(inside) < len(line) and line[len(inside)].text == ")"
+
+
 def spoken(text: str | None) -> str:
     return laid_out(_read(tokens(text or "")))

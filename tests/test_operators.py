@@ -170,6 +170,10 @@ def test_spoken_mathematics(spark):
         "x to the power of 5 end exponent equals negative 2": "x⁵ =-2",
         "y to the power of k": "y^k",
         "( 3 ) , 4 = - 2": "(3), 4 =-2",
+        "the (x, y)": "the (x, y)",
+        "and (see: note)": "and (see: note)",
+        "sin ( x + 1 ) and of ((a) b": "sin(x + 1) and of ((a) b",
+        "log (": "log (",
     }
     for given, wanted in said.items():
         assert one(spark, mathtext.symbols(F.col("t")), t=given) == wanted
