@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import documents, graph, identity, payloads, project
+from tessera.sources import settings
 from tessera.sources.tables import table
 
 C = F.col
@@ -190,9 +191,61 @@ SELECT p_partkey, kind, CAST(to_json({'accepted_responses': accepted, 'blanks':
 FROM c
 """
 
+def _settings(spark, d):
+    names = F.create_map(*[F.lit(x) for pair in {"click": "attempts_allowed", "view": "time_limit", "error": "show_clock", "signup": "randomize_answers"}.items() for x in pair])
+    setting = F.coalesce(F.element_at(names, C("event_type")), C("event_type"))
+    target = F.when(C("value") > 20, F.concat(F.lit("question-"), (C("event_id") % 50).cast("string"))).otherwise(C("user_id").cast("string"))
+    value = F.when(setting.isin("show_clock", "randomize_answers"), F.when(C("value") > 15, "Yes").otherwise(C("props"))).otherwise(F.get_json_object("props", "$.k"))
+    state = F.when(C("value") > 1, "known").otherwise("unresolved")
+    rows = table(spark, d, "events").select(C("user_id").cast("string").alias("quiz"), target.alias("target"), setting.alias("setting"), state.alias("state"), value.alias("value"), C("event_id").alias("place"))
+    quizzes = table(spark, d, "customer").filter(C("c_mktsegment") != "MACHINERY").select(C("c_custkey").cast("string").alias("quiz"))
+    return settings.effective(rows, settings.QUIZ_DEFAULTS, quizzes, settings.QUESTION_SETTINGS)
+
+
+def settings_in_force(spark, d):
+    """Settings of customers as quizzes: defaults, and over them the last that users' events set at their scope."""
+    return _settings(spark, d)[0]
+
+
+_RESOLUTIONS = """
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS quiz, CASE WHEN value > 20 THEN 'question-' || (event_id % 50) ELSE CAST(user_id AS VARCHAR) END AS target, event_id AS place, props, value AS v,
+         CASE event_type WHEN 'click' THEN 'attempts_allowed' WHEN 'view' THEN 'time_limit' WHEN 'error' THEN 'show_clock' WHEN 'signup' THEN 'randomize_answers' ELSE event_type END AS setting FROM events WHERE value > 1
+), r AS (SELECT *, CASE WHEN setting IN ('show_clock', 'randomize_answers') THEN CASE WHEN v > 15 THEN 'Yes' ELSE props END ELSE json_extract_string(props, '$.k') END AS value FROM e),
+q AS (SELECT CAST(c_custkey AS VARCHAR) AS quiz FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+d AS (SELECT unnest(['is_active', 'attempts_allowed', 'time_limit', 'show_clock', 'enforce_time_limit', 'is_forward_only']) AS setting, unnest(['false', '1', '0', 'false', 'false', 'false']) AS value),
+c AS (
+  SELECT r.*, q.quiz IS NULL AS lost, CASE WHEN target = r.quiz THEN setting IN (SELECT setting FROM d) ELSE setting = 'randomize_answers' END AS fits,
+    CASE WHEN setting IN ('show_clock', 'randomize_answers') THEN CASE WHEN lower(trim(value)) IN ('true', 'yes', '1') THEN 'true' WHEN lower(trim(value)) IN ('false', 'no', '0') THEN 'false' END
+         WHEN setting = 'attempts_allowed' THEN CASE WHEN TRY_CAST(value AS INTEGER) >= 1 THEN CAST(TRY_CAST(value AS INTEGER) AS VARCHAR) END WHEN setting = 'time_limit' THEN CAST(TRY_CAST(value AS INTEGER) AS VARCHAR) END AS coerced
+  FROM r LEFT JOIN q USING (quiz)
+)
+"""
+SETTINGS_IN_FORCE = (
+    _RESOLUTIONS
+    + """, a AS (SELECT quiz, target, setting, arg_max(coerced, place) AS value FROM c WHERE NOT lost AND fits AND coerced IS NOT NULL GROUP BY ALL)
+SELECT quiz, target, setting, value, 'receipt' AS origin FROM a
+UNION ALL SELECT q.quiz, q.quiz, d.setting, d.value, 'default' FROM q, d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.quiz = q.quiz AND a.target = q.quiz AND a.setting = d.setting)
+"""
+)
+
+
+def settings_issues(spark, d):
+    """Why users' settings do not hold: no such quiz, the wrong scope, or a value that is none of their kind."""
+    return _settings(spark, d)[1]
+
+
+SETTINGS_ISSUES = (
+    _RESOLUTIONS
+    + """SELECT DISTINCT quiz, target, setting, CASE WHEN lost THEN 'unknown_quiz' WHEN NOT fits THEN CASE WHEN target = quiz THEN 'quiz_scope' ELSE 'question_scope' END ELSE 'value' END AS code
+FROM c WHERE lost OR NOT fits OR coerced IS NULL
+"""
+)
+
 _ALL = {
     "alias_classes": (alias_classes, ALIAS_CLASSES), "alias_conflicts": (alias_conflicts, ALIAS_CONFLICTS), "typed_paths": (typed_paths, TYPED_PATHS), "path_violations": (path_violations, PATH_VIOLATIONS),
     "linked_views": (linked_views, LINKED_VIEWS), "view_issues": (view_issues, VIEW_ISSUES), "tree_keys": (tree_keys, TREE_KEYS), "strict_json": (strict_json, STRICT_JSON), "typed_payloads": (typed_payloads, TYPED_PAYLOADS),
+    "settings_in_force": (settings_in_force, SETTINGS_IN_FORCE), "settings_issues": (settings_issues, SETTINGS_ISSUES),
 }
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in _ALL.items()}
