@@ -16,7 +16,7 @@ and no words an empty set, linked with nothing.  Sets link at Jaccard >= num/den
    is searched for each document: the short lists are merged with a heap that skips, the long
    ones probed by bisection, until the required overlap is reached.  A document that has joined
    a component leaves that component's postings out of what it still searches.
-4. A block of more than `block_docs` sets is cut into chunks that all hold the block's least
+4. A block of more than `block_docs` sets or `BLOCK_SHINGLES` shingles is cut into chunks that all hold the block's least
    document.  What is not connected to it then is searched for against all chunks.
 """
 
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from .buffers import BLANKS, U64, flat, mix, slices, window_hashes, words
 from .lineage import checkpoint, components
 
-BLOCK_DOCS = 1500
+#: Sets of a block, and shingles of them, that are searched as a whole.
+BLOCK_DOCS, BLOCK_SHINGLES = 1500, 2_000_000
 #: Text of a bucket, and of what each range of codes stands for, at least so many ranges.
-BUCKET_BYTES, RANGE_BYTES, LEAST_RANGES = 2 << 20, 6 << 20, 256
+BUCKET_BYTES, RANGE_BYTES, LEAST_RANGES = 2 << 20, 48 << 20, 256
 #: Weight of a probe against a merge step in DivideSkip's choice of the number of long lists.
 PROBE_WEIGHT = 0.01
 
@@ -75,6 +76,14 @@ def prefix_sizes(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     return sizes - required_overlap(sizes, -(-num * sizes // den), num, den) + 1
 
 
+def length_partitions(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Partitions of set sizes such that only sets of one partition or of two neighbouring ones can link."""
+    bounds = [1]
+    while bounds[-1] <= sizes.max(initial=0):
+        bounds.append(bounds[-1] * den // num + 1)
+    return np.searchsorted(np.array(bounds), sizes, side="right")
+
+
 def codes(shingles: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Range (of a power of two) and 32-bit code in it; shingles of equal codes are counted together, which changes only the order."""
     bits = ranges.bit_length() - 1
@@ -136,9 +145,10 @@ def _return_codes(table: pa.Table) -> pa.Table:
     return pa.table(columns, names=["part", "bucket", "codes", "levels"]).filter(pa.array([len(x) > 0 for x, _ in found], pa.bool_()))
 
 
-def _prefixes(sets_of, num: int, den: int, ranges: int):
+def _prefixes(sets_of, num: int, den: int, ranges: int, by_length: bool):
     """segment, u, v: the least document of each prefix shingle in the bucket (v null), and the edges to it from
-    the other ones (segment any value, v not null)."""
+    the other ones (segment any value, v not null). by_length: a shingle is another one in each partition of set
+    lengths; a set shows its shingles in its own partition and in the one before."""
 
     def stars(table: pa.Table, known: pa.Table) -> pa.Table:
         held = []
@@ -158,7 +168,11 @@ def _prefixes(sets_of, num: int, den: int, ranges: int):
             rows, shingles, level = rows[order], shingles[order], level[order]
             place = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
             chosen = (place < prefix_sizes(sizes, num, den)[rows]) & (level > 0)
-            held.append((shingles[chosen], batch.column("doc_id").to_numpy()[rows[chosen]]))
+            shown, doc = shingles[chosen], batch.column("doc_id").to_numpy()[rows[chosen]]
+            if by_length:
+                partition = length_partitions(sizes, num, den)[rows[chosen]].astype(U64)
+                shown, doc = np.concatenate([mix(shown ^ mix(partition - U64(k))) for k in (0, 1)]), np.tile(doc, 2)
+            held.append((shown, doc))
         segment, doc = (np.concatenate([np.zeros(0, x), *[h[k] for h in held]]) for k, x in ((0, U64), (1, np.int64)))
         order = np.lexsort((doc, segment))
         segment, doc = segment[order], doc[order]
@@ -312,12 +326,13 @@ def _block_links(num: int, den: int):
     return find
 
 
-def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shingle_sets, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shingle_sets, block_docs: int = BLOCK_DOCS, by_length: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
 
     Null and empty texts have 0 shingles and are alone.  Rows of one doc_id count as one document
     with several sets.  Rows whose doc_id is null link with nothing and have a null component_id.
-    Repeated rows are in one component.  An empty table gives an empty table.
+    Repeated rows are in one component.  An empty table gives an empty table.  by_length parts sets by
+    their lengths before they are dealt into blocks, which the links do not show.
     """
     docs = docs.select("doc_id", "text")
     light = checkpoint(docs.mapInArrow(lambda b: _digests(b, sets_of), "doc_id long, n long, s long, t long"))
@@ -327,7 +342,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
     dealt = known.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
     sent = dealt.groupBy("__bucket").applyInArrow(_send_codes(sets_of, ranges), "part long, bucket long, codes binary, twice binary")
     returned = sent.groupBy("part").applyInArrow(_return_codes, "part long, bucket long, codes binary, levels binary")
-    prefixes = dealt.groupBy("__bucket").cogroup(returned.groupBy("bucket")).applyInArrow(_prefixes(sets_of, num, den, ranges), "segment long, u long, v long")
+    prefixes = dealt.groupBy("__bucket").cogroup(returned.groupBy("bucket")).applyInArrow(_prefixes(sets_of, num, den, ranges, by_length), "segment long, u long, v long")
     stars = prefixes.repartition("segment").sortWithinPartitions("segment", "u").mapInArrow(_meet, "u long, v long")
     groups = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "t", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     spoken_for = light.join(groups.filter("copies > 1").select("s", "t", "n", "least"), ["s", "t", "n"]).filter("doc_id <> least").select("doc_id").distinct()
@@ -343,8 +358,10 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
                 yield from _sets([batch.filter(pa.array(keep))], sets_of)
 
     sets = known.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInArrow(chosen, "doc_id long, shingles binary")
-    counts = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_docs)).cast("long").alias("chunks"))
-    placed = blocks.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks")))
+    in_size = F.greatest(F.count("*") / F.lit(block_docs), F.sum("size") / F.lit(BLOCK_SHINGLES))
+    sized = blocks.join(light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("size")), "doc_id")
+    counts = sized.groupBy("block").agg(F.ceil(in_size).cast("long").alias("chunks"))
+    placed = sized.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks")))
     members = placed.join(sets, "doc_id")
     everywhere = F.when(F.col("doc_id") == F.col("block"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))
     chunks = members.select("block", F.explode(everywhere).alias("chunk"), "doc_id", F.lit(True).alias("asks"), "shingles")
@@ -355,7 +372,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
         cut = placed.filter("chunks > 1").join(joined.withColumnsRenamed({"id": "doc_id"}), "doc_id", "left")
         of_block = joined.select(F.col("id").alias("block"), F.col("label").alias("main"))
         cut = checkpoint(cut.join(of_block, "block", "left").withColumn("rest", ~F.coalesce(F.col("label"), F.col("doc_id")).eqNullSafe(F.coalesce("main", "block"))))
-        rest = cut.filter("rest").groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_docs)).cast("long").alias("asking"))
+        rest = cut.filter("rest").groupBy("block").agg(F.ceil(in_size).cast("long").alias("asking"))
         asked = cut.join(rest, "block").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.col("asking")))
         there = asked.select("block", "doc_id", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("part"), F.col("own").alias("chunk"))
         asking = asked.filter("rest").select("block", "doc_id", F.lit(True).alias("asks"), "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))

@@ -7,8 +7,9 @@ to have a signature gets the chains that start at each of its words, or all its
 chain.  The signature set, as sorted 32-bit hashes in hex, is the fingerprint.
 
 Likeness is the Jaccard similarity of two sets, 0 at once where the lengths rule out a given
-threshold.  `near_classes` finds all near-duplicates of a corpus: candidates share a rare
-signature, and lengths and overlaps that cannot suffice are left out before sets are compared.
+threshold.  `near_classes` finds all near-duplicates of a corpus: sets are partitioned by length,
+candidates share a rare signature in a partition, and lengths and overlaps that cannot suffice
+are left out before sets are compared.
 """
 
 from __future__ import annotations
@@ -208,9 +209,10 @@ def spot_sets(column, chain: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def near_classes(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles (signatures) and component_id: the least doc_id reached by likeness of num/den or more.
 
-    Sets are compared where they share a signature of their prefixes in order of rarity, and only as
-    far as lengths and overlap can still suffice."""
-    return jaccard_components(docs, num, den, sets_of=spot_sets)
+    Sets are parted by their lengths such that only neighbouring partitions can hold links; in a partition they
+    are compared where they share a signature of their prefixes in order of rarity, and only as far as lengths and
+    overlap can still suffice."""
+    return jaccard_components(docs, num, den, sets_of=spot_sets, by_length=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

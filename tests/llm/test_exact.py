@@ -105,7 +105,7 @@ def test_components_on_awkward_rows(spark):
     check_components(spark, brute.awkward())
 
 
-def test_components_on_chains_of_edits_and_in_chunks(spark):
+def test_components_on_chains_of_edits_and_in_chunks(spark, monkeypatch):
     draw = random.Random(4)
     rows = []
     for group in range(4):
@@ -117,7 +117,19 @@ def test_components_on_chains_of_edits_and_in_chunks(spark):
                 ws[draw.randrange(len(ws))] = f"n{draw.randint(0, 10**6)}"
     draw.shuffle(rows)
     check_components(spark, rows)
-    check_components(spark, rows, block_docs=4)
+    check_components(spark, rows, block_docs=4, by_length=True)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 200)
+    check_components(spark, rows)
+
+
+def test_only_neighbouring_length_partitions_can_link():
+    for num, den in ((9, 10), (8, 10), (1, 2)):
+        sizes = np.arange(1, 700)
+        partition = jaccard_join.length_partitions(sizes, num, den)
+        assert (np.diff(partition) >= 0).all() and partition[-1] > partition[0]
+        for a in range(1, 700, 3):
+            reach = sizes[sizes * num <= a * den]
+            assert partition[reach[reach >= a] - 1].max() <= partition[a - 1] + 1
 
 
 def test_tasks_contract_edges_to_forests():
