@@ -49,7 +49,7 @@ def _structures(nodes: DataFrame, sources: DataFrame) -> DataFrame:
 def _placed_items(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Items and references with the node they stand at and the nearest section."""
     number = F.row_number().over(Window.partitionBy(*FILE).orderBy("node_id"))
-    numbered = nodes.filter("tag IN ('item', 'itemref')").select(*FILE, number.alias("item_number"), F.col("node_id").alias("item_node"), "section_node")
+    numbered = nodes.filter("tag IN ('item', 'itemref')").select(*FILE, number.alias("item_number"), F.col("node_id").alias("item_node"), "section_node", F.trim(F.coalesce("attrs.title", F.lit(""))).alias("title"))
     return exports.items(nodes).join(numbered, [*FILE, "item_number"]).join(sources.select(*FILE, "role"), FILE)
 
 
@@ -71,9 +71,10 @@ def build(nodes: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     found = linked.join(library.select("record", F.col("key").alias("library_key")), "record", "left")
     own = _key("question", F.lit("quiz_item"), _in_file("item_node"))
     found = kept(found.withColumn("own_key", F.when(F.col("tag") == "item", own)).withColumn("question", F.coalesce("library_key", "own_key")))
-    about = ["kind", "prompt", "n_choices", "signature"]
-    questions = library.groupBy("key").agg(F.min(F.struct(*FILE, "item_node", *about)).alias("q"), F.count("*").alias("n_records")).select("key", "q.*", "n_records", F.lit("library").alias("origin"))
-    inline = found.filter("library_key IS NULL AND own_key IS NOT NULL").select(F.col("own_key").alias("key"), *FILE, "item_node", *about, F.lit(1).cast("long").alias("n_records"), F.lit("quiz").alias("origin"))
+    about = ["title", "kind", "prompt", "n_choices", "signature", "alias"]
+    named = library.withColumn("alias", F.when(~F.col("a.namespace").isin("ident", "item_locator"), F.concat_ws(":", "a.namespace", "a.value")))
+    questions = named.groupBy("key").agg(F.min(F.struct(*FILE, "item_node", *about)).alias("q"), F.count("*").alias("n_records")).select("key", "q.*", "n_records", F.lit("library").alias("origin"))
+    inline = found.filter("library_key IS NULL AND own_key IS NOT NULL").withColumn("alias", F.lit(None).cast("string")).select(F.col("own_key").alias("key"), *FILE, "item_node", *about, F.lit(1).cast("long").alias("n_records"), F.lit("quiz").alias("origin"))
     questions = kept(questions.unionByName(inline))
     placed = structures.select(*FILE, "section_node", F.col("key").alias("structure"))
     occurrences = kept(found.join(placed, [*FILE, "section_node"], "left").join(quizzes.select(*FILE, F.col("key").alias("quiz")), FILE).select(

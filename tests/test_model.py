@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import exports, model
+from tessera.sources import compare, exports, model
 
 
 def meta(**fields):
@@ -82,3 +82,51 @@ def test_an_empty_export(spark):
     files = spark.createDataFrame([], exports.FILES)
     made = model.build(exports.read_nodes(files), files.select("snapshot", "file"))
     assert len(made) == 11 and all(v.count() == 0 for v in made.values())
+
+
+def export(spark, library, quizzes):
+    rows = [("e", "questiondb.xml", library.encode(), None)] + [("e", f"quiz_{i}.xml", q.encode(), None) for i, q in enumerate(quizzes)]
+    files = spark.createDataFrame(rows, exports.FILES)
+    nodes = exports.read_nodes(files).cache()
+    return model.build(nodes, files.select("snapshot", "file")), nodes, files.select("snapshot", "file")
+
+
+def titled(title, ident, prompt, label="", kind="short"):
+    return item(ident, prompt, label).replace("<item ", f'<item title="{title}" ').replace(">short<", f">{kind}<")
+
+
+def bank(*items):
+    return f'<questestinterop><objectbank><section title="P" ident="p">{"".join(items)}</section></objectbank></questestinterop>'
+
+
+def quiz(title, *sections, limit=30):
+    return f'<questestinterop><assessment title="{title}" ident="q"><assess_procextension><time_limit>{limit}</time_limit></assess_procextension>{"".join(sections)}</assessment></questestinterop>'
+
+
+def test_diff_of_two_exports(spark):
+    old = bank(titled("t1", "a", "one", "L1"), titled("t2", "b", "two", "L2"), titled("t3", "c", "three"), titled("twin", "d", "x"), titled("twin", "e", "y"), titled("twin", "f", "z"), titled("twin", "g", "z"), titled("gone", "h", "h"))
+    new = bank(titled("other title", "a2", "one", "L1"), titled("t2", "b", "two changed", "L2", kind="long"), titled("t3", "c9", "three"), titled("twin", "d2", "y"), titled("twin", "e2", "x"), titled("twin", "f2", "z"), titled("fresh", "n", "n"))
+    a, *_ = export(spark, old, [quiz("Q", draw("D", 1, "2", "L1", "L2"), draw("E", 1, "1", "L1")), quiz("R")])
+    b, *_ = export(spark, new, [quiz("Q", draw("D", 2, "2", "L1"), draw("F", 1, "1", "L1"), limit=45), quiz("S")])
+    told = sorted((r["class"], r.code, r.subject, r.detail) for r in compare.diff(a, b).collect())
+    assert [t[:3] for t in told] == [
+        ("break", "question_ambiguous", "twin"), ("break", "question_kind", "t2"), ("break", "question_missing", "gone"), ("break", "question_text", "t2"), ("break", "quiz_missing", "R"), ("break", "section_draw", "Q > D"),
+        ("break", "section_members", "Q > D"), ("break", "section_missing", "Q > E"), ("note", "question_added", "fresh"), ("note", "quiz_added", "S"), ("note", "section_added", "Q > F"), ("note", "setting", "Q > time_limit"),
+    ]
+    assert told[-1][3] == "30 -> 45" and told[1][3] == "short -> long"
+    assert compare.diff(a, a).filter("code <> 'question_ambiguous'").count() == 0  # twins of one signature stay ambiguous
+    c, *_ = export(spark, old, [quiz("Renamed")])
+    d, *_ = export(spark, old, [quiz("Q")])
+    assert [(r["class"], r.code, r.detail) for r in compare.diff(c, d).filter("code LIKE 'quiz%'").collect()] == [("note", "quiz_title", "Renamed -> Q")]
+
+
+def test_validation_of_a_package(spark):
+    manifest = b'<manifest><resources><resource href="questiondb.xml"/><resource href="gone.xml"/></resources></manifest>'
+    rows = [("e", "imsmanifest.xml", manifest, None), ("e", "questiondb.xml", bank(titled("t", "a", "one", "L1", kind="True/False")).encode(), None), ("e", "loose.txt", b"x", None)]
+    files = spark.createDataFrame(rows, exports.FILES)
+    nodes = exports.read_nodes(files).cache()
+    built = model.build(nodes, files.select("snapshot", "file"))
+    issues = compare.validate(built, nodes, files)
+    assert sorted((r.severity, r.code, r.detail) for r in issues.collect()) == [("error", "missing_href", "gone.xml"), ("error", "native_label", "truefalse_labels"), ("error", "required_file", "quiz_*.xml"), ("warning", "unlisted_file", "loose.txt")]
+    assert compare.passes(issues).first().asDict() == {"n_errors": 3, "n_warnings": 1, "passes": False}
+    assert compare.passes(issues.filter("severity = 'warning'")).first().passes
