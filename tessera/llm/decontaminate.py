@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z) and split into words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`.  A test
 phrase is `size` consecutive words of a benchmark item, or all words of a shorter one.
 
-Each shard (about 2 MB of whole texts) is indexed where phrases can occur at all: in runs of
+Each shard (about 1 MB of whole texts) is indexed where phrases can occur at all: in runs of
 words that the benchmark knows, each closed by its own separator.  The index is the
 Burrows-Wheeler transform of the word numbers in a wavelet matrix, with the suffix positions
 of every eighth word and of each run's first word.  All phrases are searched backwards at

@@ -9,7 +9,7 @@ encoded whole.
 Tier one is a table of the lengths of frequent pre-tokens, made from a bounded sample of the
 rows and broadcast as one string and one small array; it changes the speed, never a count.
 Tier two is each Python worker's cache of what it had to encode, kept from task to task and
-emptied at `CACHE_ENTRIES`.  Texts and pre-tokens are not shuffled.
+emptied at `CACHE_ENTRIES`.  No text is shuffled, and of pre-tokens only those of the sample.
 """
 
 from __future__ import annotations
