@@ -361,7 +361,7 @@ def jaccard_components(docs: DataFrame, num: int = 9, den: int = 10, sets_of=shi
     in_size = F.greatest(F.count("*") / F.lit(block_docs), F.sum("size") / F.lit(BLOCK_SHINGLES))
     sized = blocks.join(light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("size")), "doc_id")
     counts = sized.groupBy("block").agg(F.ceil(in_size).cast("long").alias("chunks"))
-    placed = sized.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks")))
+    placed = checkpoint(sized.join(counts, "block").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("chunks"))))
     members = placed.join(sets, "doc_id")
     everywhere = F.when(F.col("doc_id") == F.col("block"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))
     chunks = members.select("block", F.explode(everywhere).alias("chunk"), "doc_id", F.lit(True).alias("asks"), "shingles")
