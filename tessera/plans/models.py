@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import records
 from tessera.operators import documents, graph, identity, payloads, project
 from tessera.sources import settings
 from tessera.sources.tables import table
@@ -242,10 +243,50 @@ FROM c WHERE lost OR NOT fits OR coerced IS NULL
 """
 )
 
+def withheld_references(spark, d):
+    """Addresses of pages, and the same paths as local files would have them, as they may be shown."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    refs = F.array(C("url"), path, F.concat(F.lit("file:///srv/"), path), F.concat(F.lit("/srv/"), path, F.lit("/")), F.concat(F.lit("C:\\srv\\"), F.replace(path, F.lit("/"), F.lit("\\"))))
+    return table(spark, d, "pages").select("page_id", F.posexplode(refs).alias("place", "ref")).select("page_id", "place", records.local_reference(C("ref")).alias("shown"))
+
+
+WITHHELD_REFERENCES = r"""
+WITH p AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+r AS (SELECT page_id, unnest([url, path, 'file:///srv/' || path, '/srv/' || path || '/', 'C:\srv\' || replace(path, '/', '\')]) AS ref, unnest([0, 1, 2, 3, 4]) AS place FROM p)
+SELECT page_id, place, CASE WHEN place < 2 THEN ref ELSE '[absolute local path withheld]/' || list_last(string_split(rtrim(regexp_replace(CASE place WHEN 2 THEN regexp_replace(ref, '[?#].*$', '') ELSE replace(ref, '\', '/') END, '/+$', ''), ''), '/')) END AS shown FROM r
+"""
+
+
+def variant_fidelity(spark, d):
+    """Orders as questions, their lines as raw rows: how many different payloads the rows of one producer have."""
+    payload = F.create_map(F.lit("part"), (C("l_partkey") % 3).cast("string"), F.lit("flag"), C("l_returnflag"), F.lit("absolute_path"), C("l_linenumber").cast("string"))
+    model = F.struct(F.concat_ws(":", "l_linestatus", "l_returnflag").alias("source_kind"), payload.alias("payload"))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(model).alias("models")).withColumn("p", records.canonical_payloads(C("models"), "F:"))
+    return orders.select("l_orderkey", F.size("p").alias("n_payloads"), records.fidelity(C("p")).alias("f")).select("l_orderkey", "n_payloads", "f.*")
+
+
+VARIANT_FIDELITY = """
+SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS n_payloads, count(DISTINCT (l_partkey % 3) || l_returnflag) FILTER (l_linestatus = 'F') AS authored_variant_count,
+       count(DISTINCT (l_partkey % 3) || l_returnflag) FILTER (l_linestatus = 'F') > 1 AS variant_conflict FROM lineitem GROUP BY 1
+"""
+
+
+def feedback_texts(spark, d):
+    """Orders' lines as feedback by their flag; lines of one flag have no channel, some say nothing."""
+    entry = F.struct("l_linenumber", F.nullif(C("l_returnflag"), F.lit("R")).alias("channel"), F.when(C("l_quantity") > 10, F.concat_ws("-", C("l_partkey").cast("string"), "l_linestatus")).alias("content"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("f")).select("l_orderkey", records.feedback_text(C("f")).alias("feedback"))
+
+
+FEEDBACK_TEXTS = """
+SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'R' THEN 'feedback' ELSE l_returnflag END || ': ' || l_partkey || '-' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_partkey) FILTER (l_quantity > 10), '') AS feedback
+FROM lineitem GROUP BY 1
+"""
+
 _ALL = {
     "alias_classes": (alias_classes, ALIAS_CLASSES), "alias_conflicts": (alias_conflicts, ALIAS_CONFLICTS), "typed_paths": (typed_paths, TYPED_PATHS), "path_violations": (path_violations, PATH_VIOLATIONS),
     "linked_views": (linked_views, LINKED_VIEWS), "view_issues": (view_issues, VIEW_ISSUES), "tree_keys": (tree_keys, TREE_KEYS), "strict_json": (strict_json, STRICT_JSON), "typed_payloads": (typed_payloads, TYPED_PAYLOADS),
     "settings_in_force": (settings_in_force, SETTINGS_IN_FORCE), "settings_issues": (settings_issues, SETTINGS_ISSUES),
+    "withheld_references": (withheld_references, WITHHELD_REFERENCES), "variant_fidelity": (variant_fidelity, VARIANT_FIDELITY), "feedback_texts": (feedback_texts, FEEDBACK_TEXTS),
 }
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
 ORACLE_SQL = {k: s for k, (_, s) in _ALL.items()}

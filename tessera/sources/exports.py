@@ -1,15 +1,14 @@
 """Nested XML exports as tables: folders or ZIP archives of XML files, walked into one row for each element.
 
-Files are read with Spark's binary source; archives are opened and documents walked inside the
-tasks, so each file is one unit of work.  A file that does not parse gives one row with `error`.
+Files are read with Spark's binary source; members of archives are read at random and documents
+walked inside the tasks, so each document is one unit of work.  A file that does not parse gives one row with `error`.
 """
 
 from __future__ import annotations
 
-import io
 import stat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,8 +18,10 @@ from pyspark.sql import functions as F
 from tessera.functions import markup, mathtext, text
 from tessera.operators import identity, link
 
-#: Limits of an archive.
-MOST_MEMBERS, MOST_BYTES = 100_000, 20 << 30
+from . import archives
+
+#: Limits of an archive, and of a member.
+MOST_MEMBERS, MOST_BYTES, MOST_MEMBER = 100_000, 20 << 30, 1 << 30
 
 FILES = "snapshot string, file string, content binary, error string"
 NODES = "snapshot string, file string, node_id long, parent_id long, depth int, tag string, attrs map<string,string>, text string, tail string, section_path string, section_ident string, section_node long, item_node long, condition_node long, negated boolean, feedback string, block_node long, is_blank boolean, in_presentation boolean, choice_node long, group_node long, string_node long, error string"
@@ -40,23 +41,12 @@ def member_error(info: zipfile.ZipInfo) -> str | None:
     return None
 
 
-def expand(path: str, content: bytes) -> Iterator[tuple[str, str, bytes | None, str | None]]:
-    """The files of an archive as (archive, member, bytes, error); any other file as itself."""
-    folder, _, name = path.rpartition("/")
-    if not path.lower().endswith(".zip"):
-        yield folder, name, content, None
-        return
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            members = [m for m in archive.infolist() if not m.is_dir()]
-            if len(members) > MOST_MEMBERS or sum(m.file_size for m in members) > MOST_BYTES:
-                yield path, name, None, "too_large"
-                return
-            for m in sorted(members, key=lambda m: m.filename):
-                error = member_error(m)
-                yield path, m.filename, None if error else archive.read(m), error
-    except zipfile.BadZipFile:
-        yield path, name, None, "bad_archive"
+def listed(archive: zipfile.ZipFile, name: str) -> list[tuple[int | None, str, str | None]]:
+    """Number, name and error of an archive's members in the order of their names; one row with the archive's own name where it is too large."""
+    members = [(n, m) for n, m in enumerate(archive.infolist()) if not m.is_dir()]
+    if len(members) > MOST_MEMBERS or sum(m.file_size for _, m in members) > MOST_BYTES:
+        return [(None, name, "too_large")]
+    return [(n, m.filename, member_error(m) or ("too_large" if m.file_size > MOST_MEMBER else None)) for n, m in sorted(members, key=lambda x: x[1].filename)]
 
 
 def walk(content: bytes) -> Iterator[dict]:
@@ -98,17 +88,50 @@ def walk(content: bytes) -> Iterator[dict]:
         stack += [(child, number, depth + 1, around) for child in reversed(node)]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """snapshot, file, content, error of every file below a path, archives opened."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def read_files(spark: SparkSession, path: str, opener: Callable = archives.open_at) -> DataFrame:
+    """snapshot, file, content, error of every file below a path, archives opened.
 
-    def opened(frames):
+    An archive is read at random: its directory first, then its members, dealt over tasks; it may be as long as its limits let it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    is_archive = F.lower("path").endswith(".zip")
+    folder, base = F.regexp_replace("path", "/[^/]*$", ""), F.element_at(F.split("path", "/"), -1)
+    plain = found.filter(~is_archive).select(folder.alias("snapshot"), base.alias("file"), "content", F.lit(None).cast("string").alias("error"))
+
+    def directories(frames):
         for frame in frames:
-            for p, content in zip(frame.path, frame.content, strict=True):
-                for row in expand(p, bytes(content)):
-                    yield pd.DataFrame([row], columns=["snapshot", "file", "content", "error"])
+            for p in frame.path:
+                name = p.rpartition("/")[2]
+                try:
+                    with opener(p) as f, zipfile.ZipFile(f) as archive:
+                        rows = listed(archive, name)
+                except archives.BROKEN:
+                    rows = [(None, name, "bad_archive")]
+                if rows:
+                    yield pd.DataFrame([(p, *r) for r in rows], columns=["snapshot", "n", "file", "error"]).astype({"n": "Int32"})
 
-    return found.mapInPandas(opened, FILES)
+    def opened(frames):
+        at, archive, f = None, None, None
+        for frame in frames:
+            for p, n, name, error in frame[["snapshot", "n", "file", "error"]].itertuples(index=False, name=None):
+                content = None
+                if pd.isna(error):
+                    error = None
+                    if at != p:
+                        if at is not None:
+                            archive.close(), f.close()
+                        f = opener(p)
+                        at, archive = p, zipfile.ZipFile(f)
+                    try:
+                        content = archive.read(archive.infolist()[int(n)])
+                    except archives.BROKEN:
+                        error = "bad_member"
+                yield pd.DataFrame([(p, name, content, error)], columns=["snapshot", "file", "content", "error"])
+        if at is not None:
+            archive.close(), f.close()
+
+    members = found.filter(is_archive).select("path").mapInPandas(directories, "snapshot string, n int, file string, error string")
+    dealt = members.withColumn("part", F.floor(F.coalesce("n", F.lit(0)) / archives.MEMBERS_A_TASK)).repartition("snapshot", "part").sortWithinPartitions("snapshot", "n")
+    return plain.unionByName(dealt.mapInPandas(opened, FILES))
 
 
 def read_nodes(files: DataFrame) -> DataFrame:

@@ -159,3 +159,28 @@ def test_linked_views(spark):
     assert [p for p, _ in hot] == [0, 1, 2] and [n for _, part in hot for n in part] == list(range(2500))
     assert sorted((r.name, r.part, r.n_rows) for r in rows if r.id != 1) == [("again", 0, 1), ("b", 0, 0), ("c", 0, 1), ("null", 0, 0)]
     assert sorted(((r.id, r.code, r.n) for r in issues.collect()), key=repr) == [(2, "unplaced", 1), (3, "repeated", 2), (9, "orphaned", 2)]
+
+
+def test_records(spark):
+    from tessera.functions import records
+
+    C = F.col
+    paths = {"file:///home/me/x.png": "[absolute local path withheld]/x.png", "/tmp/a/": "[absolute local path withheld]/a", "C:\\Users\\me\\b.doc": "[absolute local path withheld]/b.doc", "/": "[absolute local path withheld]", "pics/a.png": "pics/a.png", "http://x.org/a": "http://x.org/a", "": "", None: None, "\\\\host\\share\\c": "[absolute local path withheld]/c", "file:": "[absolute local path withheld]"}
+    frame = spark.createDataFrame([(p,) for p in paths], "p string").select("p", records.local_reference(C("p")).alias("r"))
+    assert {r.p: r.r for r in frame.collect()} == paths
+    states = spark.createDataFrame([("a", "b"), ("", "b"), (None, None)], "a string, b string").select(records.match_state(C("a"), C("b")).alias("s"))
+    assert [r.s for r in states.collect()] == ["a", "b", "not_recorded"]
+    kind = "id int, models array<struct<source_kind:string,payload:map<string,string>>>"
+    rows = spark.createDataFrame([(1, [("row:a", {"q": "1", "my_absolute_path": "x"}), ("row:b", {"my_absolute_path": "y", "q": "1"}), ("fact", {"q": "9"}), ("row:c", None), (None, {"q": "1"})]), (2, [("row:a", {"q": "1"}), ("row:a", {"q": "2"})]), (3, []), (4, None)], kind)
+    found = rows.withColumn("p", records.canonical_payloads(C("models"), "row:")).select("id", F.size("p").alias("n"), records.fidelity(C("p")).alias("f"), F.transform("p", records.safe_row).alias("p"))
+    assert {r.id: (r.n, r.f.authored_variant_count, r.f.variant_conflict) for r in found.filter("id < 4").collect()} == {1: (2, 1, False), 2: (2, 2, True), 3: (0, 0, False)}
+    assert found.filter("id = 1").first().p == [{"q": "1"}, {"q": "1"}]
+    told = spark.createDataFrame([([("right", "yes"), (None, "well"), ("x", "")],), ([],), (None,)], "f array<struct<channel:string,content:string>>").select(records.feedback_text(C("f")).alias("t"))
+    assert [r.t for r in told.collect()] == ["right: yes\nfeedback: well", "", ""]
+    named = spark.createDataFrame([([("n", "1"), ("m", "2"), ("n", ""), ("n", "3")],)], "a array<struct<namespace:string,value:string>>").select(records.aliases_in(C("a"), "n").alias("v"))
+    assert named.first().v == ["1", "3"]
+    rich = spark.createDataFrame([("x", "latex"), ("x", "html"), (" ", "html"), ("x", "doc"), ("x", None)], "v string, f string").select(records.rich_text(C("v"), C("f")).alias("r"))
+    assert [tuple(r.r) for r in rich.collect()] == [("plain_text", "x", "latex", None), ("html", "x", None, None), (None, None, None, "text_missing"), (None, None, None, "format_unknown"), (None, None, None, "format_unknown")]
+    flat = [(["a", "b"], "a || b", "text_entry", 1, "Blank 1: a / b", None), (["a"], "a", "text_entry", 2, "Blank 1: a", ""), ([], "", "text_entry", 1, "Blank 1: ", ""), (["a"], None, "text_entry", 1, "Blank 1: a", "")]
+    agrees = spark.createDataFrame(flat, "v array<string>, a string, b string, n int, t string, c string").select(records.short_answer_agrees(*map(C, "vabntc")).alias("x"))
+    assert [r.x for r in agrees.collect()] == [True, False, False, False]
