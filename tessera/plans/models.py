@@ -278,7 +278,7 @@ def feedback_texts(spark, d):
 
 
 FEEDBACK_TEXTS = """
-SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'R' THEN 'feedback' ELSE l_returnflag END || ': ' || l_partkey || '-' || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag, l_partkey) FILTER (l_quantity > 10), '') AS feedback
+SELECT l_orderkey, coalesce(string_agg(CASE l_returnflag WHEN 'R' THEN 'feedback' ELSE l_returnflag END || ': ' || l_partkey || '-' || l_linestatus, chr(10) ORDER BY l_linenumber, nullif(l_returnflag, 'R') NULLS FIRST, l_partkey || '-' || l_linestatus) FILTER (l_quantity > 10), '') AS feedback
 FROM lineitem GROUP BY 1
 """
 
