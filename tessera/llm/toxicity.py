@@ -10,7 +10,8 @@ has decoded.
 The restored text is scored by its words and word beginnings.  Those that a bounded sample of
 labelled rows singles out carry a weight; a logistic model takes the greatest weight, the
 number of such words and their share.  It is fitted crosswise: each half of the sample is
-weighed by what the other half singles out.
+weighed by what the other half singles out, and its intercept puts the threshold where it
+parts these rows best.
 """
 
 from __future__ import annotations
@@ -317,6 +318,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
+def parting(logits: np.ndarray, toxic: np.ndarray) -> float:
+    """Where a cut leaves the fewest rows on the wrong side, in the middle of the widest such gap; the threshold's own place without rows of both kinds."""
+    place = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    if not 0 < toxic.sum() < len(toxic):
+        return place
+    order = np.argsort(logits, kind="stable")
+    at, kind = logits[order], toxic[order]
+    wrong = np.cumsum(kind) + (1 - kind).sum() - np.cumsum(1 - kind)  # toxic ones below, clean ones above, of a cut after each row
+    gap = np.append(np.diff(at), 0.0)
+    if not (gap > 0).any():
+        return place
+    best = int(np.lexsort((-gap, np.where(gap > 0, wrong, np.inf)))[0])
+    return float(at[best] + gap[best] / 2)
+
+
 class Scorer:
     def __init__(self, model: CharacterModel, weights: Weights, coefficients: np.ndarray):
         self.model, self.weights, self.coefficients = model, weights, coefficients
@@ -369,7 +385,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Scor
             yield pa.RecordBatch.from_arrays([*map(pa.array, x.T.copy()), batch.column("toxic")], ["a", "b", "c", "toxic"])
 
     fit = sample.select("text", "half", "toxic").mapInArrow(inputs, "a double, b double, c double, toxic boolean").toPandas()
-    coefficients = logistic(fit[["a", "b", "c"]].to_numpy(float), fit.toxic.to_numpy(float)) if len(fit) else np.zeros(4)
+    x, y = fit[["a", "b", "c"]].to_numpy(float), fit.toxic.to_numpy(float)
+    coefficients = logistic(x, y) if len(fit) else np.zeros(4)
+    # the threshold stands where it parts the sample best
+    coefficients[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - parting(x @ coefficients[:-1] + coefficients[-1], y)
     return Scorer(model, weights((0, 1)), coefficients)
 
 

@@ -30,6 +30,19 @@ def docs(spark):
 # toxicity
 
 
+def test_the_threshold_parts_a_sample_where_it_errs_least():
+    place = float(np.log(0.7 / 0.3))
+    at, toxic = np.array([-9.0, -8, -2, 3, 4, -8.5]), np.array([0.0, 0, 0, 1, 1, 1])
+    assert toxicity.parting(at, toxic) == 0.5  # one toxic row among the clean ones is given up
+    draw = np.random.default_rng(2)
+    at, toxic = draw.normal(size=60).round(1), draw.integers(0, 2, 60).astype(float)
+    errs = lambda cut: int((toxic[at < cut] == 1).sum() + (toxic[at > cut] == 0).sum())
+    assert errs(toxicity.parting(at, toxic)) == min(errs(x + 0.05) for x in np.unique(at)[:-1])
+    for none in (np.zeros(3), np.ones(3)):
+        assert toxicity.parting(np.arange(3.0), none) == pytest.approx(place)
+    assert toxicity.parting(np.zeros(2), np.array([0.0, 1])) == pytest.approx(place) == toxicity.parting(np.zeros(0), np.zeros(0))
+
+
 def toy_documents():
     draw = random.Random(1)
     rows = []
