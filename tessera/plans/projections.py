@@ -67,22 +67,22 @@ UNION ALL SELECT p_partkey, 'diagnostic' FROM part WHERE p_partkey IN (SELECT l_
 def unresolved_occurrences(spark, d):
     """Orders that nothing resolves, with the first of their lines, if any."""
     first = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("f"))
-    open_orders = table(spark, d, "orders").filter("o_orderkey % 10 < 3 AND o_orderstatus <> 'P'")
+    open_orders = table(spark, d, "orders").filter("o_orderstatus <> 'P'")
     return open_orders.join(first, C("o_orderkey") == C("l_orderkey"), "left").select("o_orderkey", C("f.l_linenumber").alias("l_linenumber"), C("f.l_partkey").alias("l_partkey"), C("l_orderkey").isNotNull().alias("is_placed"))
 
 
 UNRESOLVED_OCCURRENCES = """
 WITH f AS (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey)) AS f FROM lineitem GROUP BY 1)
-SELECT o_orderkey, f[1] AS l_linenumber, f[2] AS l_partkey, l_orderkey IS NOT NULL AS is_placed FROM orders LEFT JOIN f ON l_orderkey=o_orderkey WHERE o_orderkey%10<3 AND o_orderstatus<>'P'
+SELECT o_orderkey, f[1] AS l_linenumber, f[2] AS l_partkey, l_orderkey IS NOT NULL AS is_placed FROM orders LEFT JOIN f ON l_orderkey=o_orderkey WHERE o_orderstatus<>'P'
 """
 
 
 def single_facts(spark, d):
     """The priority of customers with one open order: a fact told twice is none."""
-    return evidence.single_value(table(spark, d, "orders").filter("o_orderstatus = 'P' OR o_orderkey % 9 = 0"), ["o_custkey"], "o_orderpriority")
+    return evidence.single_value(table(spark, d, "orders").filter("o_orderstatus = 'P'"), ["o_custkey"], "o_orderpriority")
 
 
-SINGLE_FACTS = "SELECT o_custkey, count(o_orderpriority) AS n_values, CASE WHEN count(o_orderpriority)=1 THEN min(o_orderpriority) END AS o_orderpriority FROM orders WHERE o_orderstatus='P' OR o_orderkey%9=0 GROUP BY 1"
+SINGLE_FACTS = "SELECT o_custkey, count(o_orderpriority) AS n_values, CASE WHEN count(o_orderpriority)=1 THEN min(o_orderpriority) END AS o_orderpriority FROM orders WHERE o_orderstatus='P' GROUP BY 1"
 
 
 def evidence_pairs(spark, d):
