@@ -74,3 +74,31 @@ def namespace_issues(spaces: DataFrame, default: str = DEFAULT_NAMESPACE, prefix
     version = spaces.filter(F.col("uri") == NO_METADATA).select("snapshot", F.lit("metadata_version").alias("code"), F.col("uri").alias("detail")).distinct()
     prefix = spaces.filter((F.col("uri") == METADATA) & (F.col("prefix") != METADATA_PREFIX)).select("snapshot", F.lit("metadata_prefix").alias("code"), F.col("prefix").alias("detail"))
     return invented.unionByName(wrong).unionByName(other).unionByName(version).unionByName(prefix)
+
+
+def payloads(files: DataFrame, suffix: str) -> DataFrame:
+    """snapshot, file, basename, sha256, payload_id, state and error of the files with a suffix (in any case), which hold JSON objects with an id.
+
+    The id is a text that is not blank, or a number; a whole one is written without a fraction. `parsed` where there is one; `invalid` otherwise, with not_utf8, not_json,
+    no_object or id_missing."""
+    own = files.filter(F.lower("file").endswith(suffix.lower()) & F.col("content").isNotNull())
+    said = F.expr("try_validate_utf8(cast(content AS string))")
+    read = own.withColumn("__t", said).withColumn("__v", F.try_parse_json("__t"))
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get("__v", "$.id", "variant")), F.lit("VOID"))
+    said = F.trim(F.try_variant_get("__v", "$.id", "string"))
+    named = F.when(kind == "STRING", F.nullif(said, F.lit(""))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.regexp_replace(said, r"\.0+$", ""))
+    is_object = F.schema_of_variant("__v").startswith("OBJECT<")
+    error = F.when(F.col("__t").isNull(), "not_utf8").when(F.col("__v").isNull(), "not_json").when(~is_object, "no_object").when(named.isNull(), "id_missing")
+    found = read.withColumns({"payload_id": F.when(is_object, named), "error": error})
+    return found.select("snapshot", "file", F.element_at(F.split("file", "/"), -1).alias("basename"), F.sha2("content", 256).alias("sha256"), "payload_id", F.when(F.col("error").isNull(), "parsed").otherwise("invalid").alias("state"), "error")
+
+
+def one_of(rows: DataFrame, key: str, requested: str | None) -> tuple[DataFrame, DataFrame]:
+    """The requested row, or the only one where none is requested; and why there is none: `not_found`, or `several` with how many there are."""
+    if requested:
+        chosen = rows.filter(F.col(key) == requested)
+        return chosen, chosen.agg(F.count("*").alias("n")).filter("n <> 1").select(F.when(F.col("n") == 0, "not_found").otherwise("several").alias("code"), "n")
+    n = rows.agg(F.count("*").alias("n"))
+    counted = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    alone = counted.agg(F.count("*").alias("keys"), F.sum("__n").alias("n"), F.min(key).alias(key)).filter("keys = 1 AND n = 1").select(key)
+    return rows.join(alone, key, "left_semi"), n.filter("n <> 1").select(F.when(F.col("n") == 0, "not_found").otherwise("several").alias("code"), "n")

@@ -208,3 +208,19 @@ def test_packages(spark, tmp_path):
     assert {r.href for r in packages.missing_hrefs(nodes, files).collect()} == {"gone.html", "../up.html"}
     first = packages.namespaces(files.filter("file = 'wrapped/imsmanifest.xml'"))
     assert {(r.code, r.detail) for r in packages.namespace_issues(first).collect()} == {("invented_prefix", "ns0"), ("missing_namespace", "http://desire2learn.com/xsd/d2lcp_v2p0"), ("metadata_prefix", "m"), ("metadata_version", "http://www.imsglobal.org/xsd/imsmd_v1p2")}
+
+
+def test_payloads_and_the_one_quiz(spark):
+    from tessera.sources import packages
+
+    bodies = {"a.Item.JSON": b'{"id": " p1 "}', "b.item.json": b'{"id": 7}', "c.item.json": b'{"id": ""}', "d.item.json": b"[1]", "e.item.json": b"{", "f.item.json": b"\xff", "x/g.item.json": b'{"id": {"x": 1}}', "h.txt": b"{}", "i.item.json": b'{"id": true}', "j.item.json": b"", "k.item.json": b'{"id": 7.0}'}
+    files = spark.createDataFrame([("s", f, c, None) for f, c in bodies.items()], exports.FILES)
+    found = {r.basename: (r.payload_id, r.state, r.error) for r in packages.payloads(files, ".item.json").collect()}
+    assert found == {
+        "a.Item.JSON": ("p1", "parsed", None), "b.item.json": ("7", "parsed", None), "c.item.json": (None, "invalid", "id_missing"), "d.item.json": (None, "invalid", "no_object"), "e.item.json": (None, "invalid", "not_json"),
+        "f.item.json": (None, "invalid", "not_utf8"), "g.item.json": (None, "invalid", "id_missing"), "i.item.json": (None, "invalid", "id_missing"), "j.item.json": (None, "invalid", "not_json"), "k.item.json": ("7", "parsed", None),
+    }
+    quizzes = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int")
+    told = lambda rows, want: tuple([tuple(r) for r in x.collect()] for x in packages.one_of(rows, "key", want))
+    assert told(quizzes, "b") == ([("b", 2)], []) and told(quizzes, "c") == ([], [("not_found", 0)])
+    assert told(quizzes, None) == ([], [("several", 2)]) and told(quizzes.filter("n = 1"), None) == ([("a", 1)], []) and told(quizzes.limit(0), "") == ([], [("not_found", 0)])
