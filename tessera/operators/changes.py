@@ -76,8 +76,12 @@ def title_classes(a: DataFrame, b: DataFrame, title: str) -> DataFrame:
 def or_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], key: str, record: str) -> DataFrame:
     """Left keys with the right records that any of the column pairs joins, as a union of equi-joins.
 
-    Adds n_matches, the least record and a state: absent, resolved or ambiguous."""
-    found = [left.select(key, F.col(a).alias("__k")).join(right.select(record, F.col(b).alias("__k")), "__k").select(key, record) for a, b in pairs]
-    matches = reduce(DataFrame.unionByName, found).distinct().groupBy(key).agg(F.count("*").alias("n_matches"), F.min(record).alias(record))
-    out = left.select(key).join(matches, key, "left").fillna(0, ["n_matches"])
+    Adds n_matches, the least record and a state: absent, resolved or ambiguous, for each row of left. Rows of equal values are joined
+    once, so rows of a value that is frequent on both sides add up instead of multiplying."""
+    values = [F.col(a).alias(f"__k{i}") for i, (a, _) in enumerate(pairs)]
+    given = left.select(key, *values).withColumn("__all", F.to_json(F.struct(*[f"__k{i}" for i in range(len(pairs))])))
+    alike = given.drop(key).dropDuplicates(["__all"])
+    found = [alike.select("__all", f"__k{i}").join(right.select(record, F.col(b).alias(f"__k{i}")).distinct(), f"__k{i}").select("__all", record) for i, (_, b) in enumerate(pairs)]
+    matches = reduce(DataFrame.unionByName, found).distinct().groupBy("__all").agg(F.count("*").alias("n_matches"), F.min(record).alias(record))
+    out = given.select(key, "__all").join(matches, "__all", "left").drop("__all").fillna(0, ["n_matches"])
     return out.withColumn("state", F.when(F.col("n_matches") == 0, "absent").when(F.col("n_matches") == 1, "resolved").otherwise("ambiguous")).withColumn(record, F.when(F.col("n_matches") == 1, F.col(record)))

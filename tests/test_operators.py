@@ -281,3 +281,14 @@ def test_link_similarity_query_equals_all_pairs(spark):
             continue
         sure = scored[0][0] >= link.SIMILAR and (len(scored) == 1 or round(scored[0][0] - scored[1][0], 6) >= link.LEAD)
         assert (found[i].record_id, found[i].match_score) == (scored[0][1] if sure else None, pytest.approx(scored[0][0], abs=1e-6))
+
+
+def test_or_join_counts_each_record_once(spark):
+    left = [(i, "hot", None) for i in range(200)] + [(300, "a", "b"), (301, None, None), (302, "a", "c"), (303, "", "x"), (304, "z", None)]
+    right = [(f"r{i:03}", "hot", None) for i in range(150)] + [("s1", "a", "b"), ("s2", None, "c"), ("s1", "a", "b"), ("s3", "", None)]
+    found = changes.or_join(spark.createDataFrame(left, "key int, p string, q string"), spark.createDataFrame(right, "record string, p string, q string"), [("p", "p"), ("q", "q")], "key", "record")
+    wanted = {}
+    for k, p, q in left:
+        hits = {r for r, x, y in right if (p is not None and p == x) or (q is not None and q == y)}
+        wanted[k] = (len(hits), min(hits) if len(hits) == 1 else None, ["absent", "resolved", "ambiguous"][min(len(hits), 2)])
+    assert {r.key: (r.n_matches, r.record, r.state) for r in found.collect()} == wanted
