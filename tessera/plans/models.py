@@ -40,13 +40,13 @@ SELECT c.k AS doc_id, entity, coalesce(n, 0) AS n_aliases, coalesce(ns, 'own') A
 )
 
 
-def alias_conflicts(spark, d):
+def alias_class_conflicts(spark, d):
     """Entities of documents that several sources claim."""
     docs, aliases = _aliased(spark, d)
     return identity.alias_conflicts(docs, "doc_id", aliases, C("source"))
 
 
-ALIAS_CONFLICTS = (
+ALIAS_CLASS_CONFLICTS = (
     _ALIASES
     + """, i AS (SELECT doc_id AS k, source FROM documents WHERE source IS NOT NULL),
 s AS (SELECT DISTINCT entity, ns FROM (SELECT ns, value, min(k) AS k FROM a JOIN i USING (k) GROUP BY 1, 2 HAVING count(DISTINCT source) > 1) JOIN c USING (k))
@@ -283,7 +283,7 @@ FROM lineitem GROUP BY 1
 """
 
 _ALL = {
-    "alias_classes": (alias_classes, ALIAS_CLASSES), "alias_conflicts": (alias_conflicts, ALIAS_CONFLICTS), "typed_paths": (typed_paths, TYPED_PATHS), "path_violations": (path_violations, PATH_VIOLATIONS),
+    "alias_classes": (alias_classes, ALIAS_CLASSES), "alias_class_conflicts": (alias_class_conflicts, ALIAS_CLASS_CONFLICTS), "typed_paths": (typed_paths, TYPED_PATHS), "path_violations": (path_violations, PATH_VIOLATIONS),
     "linked_views": (linked_views, LINKED_VIEWS), "view_issues": (view_issues, VIEW_ISSUES), "tree_keys": (tree_keys, TREE_KEYS), "strict_json": (strict_json, STRICT_JSON), "typed_payloads": (typed_payloads, TYPED_PAYLOADS),
     "settings_in_force": (settings_in_force, SETTINGS_IN_FORCE), "settings_issues": (settings_issues, SETTINGS_ISSUES),
     "withheld_references": (withheld_references, WITHHELD_REFERENCES), "variant_fidelity": (variant_fidelity, VARIANT_FIDELITY), "feedback_texts": (feedback_texts, FEEDBACK_TEXTS),

@@ -46,3 +46,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_no_query_takes_the_name_of_another():
+    assert len(catalogue.QUERIES) == sum(len(m.QUERIES) for m in catalogue._MODULES)
