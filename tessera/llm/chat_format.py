@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpoint
+
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role * 2 + (0: opens a turn, 1: goes on)
 SIZES = (5, 6, 2, 2)
@@ -229,7 +231,8 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 
     A conversation uses one of three ways to mark speakers, by the CRC of its id; every fourth
     turn, by the CRC of its id and number, has no mark at all.  Parts hold `PART_TURNS` numbers,
-    so that no group grows without bound where numbers do not repeat; null numbers count as 0.  Null texts are empty, a null role is written unmarked."""
+    so that no group grows without bound where numbers do not repeat; null numbers count as 0.  Null texts are empty, a null role is written unmarked.
+    Turns without a number, or with a repeated one, are in one part however many they are."""
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(3))
     bare = F.pmod(F.crc32(F.concat_ws(":", "conv_id", "turn")), F.lit(4)) == 0
     role = F.col("role")
@@ -245,7 +248,7 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """Transcripts of all conversations, parsed by a model learned where crc32(conv_id as text) mod 5 is not 0."""
     held_out = F.crc32(F.col("conv_id").cast("string")) % 5 == 0
-    made = as_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    made = checkpoint(as_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))  # learned from and parsed, grouped once
     model = learn(made.filter(F.coalesce(~held_out, F.lit(False))))
     given = made.withColumn("given", F.transform("turns", lambda t: t.role)).drop("turns")
     found = parse_parts(given, model, "conv_id").withColumn("roles", F.transform("turns", lambda t: t.role))
