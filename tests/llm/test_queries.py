@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from . import brute
 
 DATA = "/root/testdata/sf0.001"
 MORE = "/root/testdata/sf0.01"
+MOST = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -84,13 +86,13 @@ def test_op4_finds_held_out_languages(spark):
 
 
 def test_op1_finds_held_out_toxic_documents(spark):
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MORE}/labels.parquet").collect()}
-    found = collected(spark, "op1_toxicity", MORE)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{MOST}/labels.parquet").collect()}
+    found = collected(spark, "op1_toxicity", MOST)
     assert all(r.held_out == (crc(i, 3) == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in found.items())
     held = [i for i in toxic if i in found and found[i].held_out and toxic[i] is not None]
     right = sum(found[i].predicted for i in held if toxic[i] == 1)
-    assert right >= 0.8 * sum(toxic[i] == 1 for i in held) > 0
-    assert sum(found[i].predicted for i in held if toxic[i] == 0) <= 0.02 * len(held)
+    assert right >= 0.9 * sum(toxic[i] == 1 for i in held) > 100
+    assert sum(found[i].predicted for i in held if toxic[i] == 0) <= 0.01 * len(held)
 
 
 def test_op7_reads_back_what_it_wrote(spark):
@@ -112,7 +114,7 @@ def test_queries_equal_their_sql(spark, name):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     wanted = connection.execute(queries.ORACLE_SQL[name]).df()
     columns = sorted(wanted.columns)
-    cell = lambda x: None if x is None or x != x else x if isinstance(x, str) else int(x)
+    cell = lambda x: None if pd.isna(x) else x if isinstance(x, str) else int(x)
     assert sorted(found.columns) == columns
     rows = [sorted((tuple(map(cell, r)) for r in frame[columns].itertuples(index=False, name=None)), key=repr) for frame in (found.toPandas(), wanted)]
     assert rows[0] == rows[1] and rows[0]
