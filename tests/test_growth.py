@@ -26,3 +26,9 @@ def test_copies_of_a_name_are_linked_with_its_first_part_alone(spark, stored):
     parts = [(10 + i, n, "b", "t") for i, n in enumerate(names)] + [(5, "red bolt", "other", "t"), (6, "red bolt", None, "t"), (7, None, "b", "t")]
     folder = stored(part=(parts, "p_partkey long, p_name string, p_brand string, p_type string"))
     assert found(spark, "link_similarity_lev", folder) == [(10, 11, 0), (10, 12, 0), (10, 13, 1), (13, 14, 0)]
+
+
+def test_single_facts_reads_all_orders(spark, stored):
+    orders = [(9, 1, "O", "low"), (10, 2, "O", "low"), (11, 3, "P", "high"), (12, 3, "F", "low"), (13, 4, "F", None)]
+    folder = stored(orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"))
+    assert found(spark, "single_facts", folder) == [(1, 1, "low"), (2, 1, "low"), (3, 2, None), (4, 0, None)]
