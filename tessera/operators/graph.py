@@ -40,12 +40,32 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str = "src", target:
         seen = seen.unionByName(frontier)
 
 
+#: Rows of a few numbers and keys, some MB, that may be sent to all tasks.
+FEW = 100_000
+
+
+def _if_few(rows: DataFrame) -> DataFrame:
+    """Kept rows, marked for a broadcast join where they are few, so that hot keys of the other side stay where they are."""
+    rows = kept(rows)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def divide(pairs: DataFrame, member: str, group: str, required: DataFrame, of: str) -> DataFrame:
-    """Groups of `pairs` that have every member which `required` names for some owner `of`: of, group."""
-    needs = required.select(of, member).distinct()
+    """Groups of `pairs` that have every member which `required` names for some owner `of`: of, group.
+
+    Groups of equal members are judged once, by the least of them: joins by member see distinct sets, so a member that most
+    groups have is not a task of its own. A set is known by its size and 128 bits of hashes, whatever its size."""
+    needs = _if_few(required.select(of, member).distinct())
     sizes = needs.groupBy(of).agg(F.count("*").alias("__needed"))
-    had = needs.join(pairs.select(member, group).distinct(), member).groupBy(of, group).agg(F.count("*").alias("__had"))
-    return had.join(sizes, of).filter("__had = __needed").select(of, group)
+    known = ["__n", "__x", "__y"]
+    held = pairs.filter(F.col(member).isNotNull()).select(member, group).distinct()
+    marks = [F.count("*").alias("__n"), F.bit_xor(F.xxhash64(member)).alias("__x"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("__y")]
+    sets = kept(held.groupBy(group).agg(*marks))
+    firsts = _if_few(sets.groupBy(*known).agg(F.min(group).alias("__first")))
+    members = pairs.join(firsts, F.col(group).eqNullSafe(F.col("__first"))).filter(F.col(member).isNotNull()).select(*known, member).distinct()
+    had = members.join(needs, member).groupBy(of, *known).agg(F.count("*").alias("__had"))
+    fitting = _if_few(had.join(sizes, of).filter("__had = __needed").select(of, *known))
+    return sets.join(fitting, known).select(of, group)
 
 
 def components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:

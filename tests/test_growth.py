@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from tessera.operators import graph
 from tessera.plans import catalogue
 
 
@@ -32,3 +33,18 @@ def test_single_facts_reads_all_orders(spark, stored):
     orders = [(9, 1, "O", "low"), (10, 2, "O", "low"), (11, 3, "P", "high"), (12, 3, "F", "low"), (13, 4, "F", None)]
     folder = stored(orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"))
     assert found(spark, "single_facts", folder) == [(1, 1, "low"), (2, 1, "low"), (3, 2, None), (4, 0, None)]
+
+
+def test_groups_of_a_frequent_member_are_spread_over_tasks(spark):
+    pairs = spark.range(1000).selectExpr("id AS grp", "explode(array('n', if(id % 2 = 0, 'r', NULL))) AS m")
+    required = spark.createDataFrame([("o", "n"), ("p", "n"), ("p", "r"), ("q", None)], "owner string, m string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        parts = graph.divide(pairs, "m", "grp", required, "owner").rdd.glom().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {tuple(r) for p in parts for r in p} == {("o", i) for i in range(1000)} | {("p", i) for i in range(0, 1000, 2)}
+    assert max(map(len, parts)) < 1000
