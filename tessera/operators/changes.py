@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -74,14 +75,24 @@ def title_classes(a: DataFrame, b: DataFrame, title: str) -> DataFrame:
 
 
 def or_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], key: str, record: str) -> DataFrame:
-    """Left keys with the right records that any of the column pairs joins, as a union of equi-joins.
-
-    Adds n_matches, the least record and a state: absent, resolved or ambiguous, for each row of left. Rows of equal values are joined
-    once, so rows of a value that is frequent on both sides add up instead of multiplying."""
-    values = [F.col(a).alias(f"__k{i}") for i, (a, _) in enumerate(pairs)]
-    given = left.select(key, *values).withColumn("__all", F.to_json(F.struct(*[f"__k{i}" for i in range(len(pairs))])))
-    alike = given.drop(key).dropDuplicates(["__all"])
-    found = [alike.select("__all", f"__k{i}").join(right.select(record, F.col(b).alias(f"__k{i}")).distinct(), f"__k{i}").select("__all", record) for i, (_, b) in enumerate(pairs)]
-    matches = reduce(DataFrame.unionByName, found).distinct().groupBy("__all").agg(F.count("*").alias("n_matches"), F.min(record).alias(record))
-    out = given.select(key, "__all").join(matches, "__all", "left").drop("__all").fillna(0, ["n_matches"])
-    return out.withColumn("state", F.when(F.col("n_matches") == 0, "absent").when(F.col("n_matches") == 1, "resolved").otherwise("ambiguous")).withColumn(record, F.when(F.col("n_matches") == 1, F.col(record)))
+    """Left keys with the right records that any of the column pairs joins.
+
+    Adds n_matches, the least record and a state: absent, resolved or ambiguous, for each row of left. Records are counted for
+    each value and for each combination of values before they are joined, and a union's size follows from these (inclusion and
+    exclusion): a row of left is joined with one row for each combination of pairs, never with its records."""
+    names = [f"__k{i}" for i in range(len(pairs))]
+    out = left.select(key, *[F.col(a).alias(n) for n, (a, _) in zip(names, pairs, strict=True)])
+    sides = [right.filter(F.col(b).isNotNull()).select(F.col(record).alias("__r"), F.col(b).alias(n)).distinct() for n, (_, b) in zip(names, pairs, strict=True)]
+    total, least = F.lit(0).cast("long"), []
+    for size in range(1, len(pairs) + 1):
+        for some in itertools.combinations(range(len(pairs)), size):
+            on, c = [names[i] for i in some], "__n" + "_".join(map(str, some))
+            both = reduce(lambda x, y: x.join(y.withColumnRenamed("__r", "__s"), F.col("__r").eqNullSafe(F.col("__s"))).drop("__s"), [sides[i] for i in some])
+            counted = both.groupBy(*on).agg(F.count("*").alias(c), *([F.min("__r").alias(f"{c}r")] if size == 1 else []))
+            out = out.join(counted, on, "left")
+            total = total + F.coalesce(F.col(c), F.lit(0)) * (1 if size % 2 else -1)
+            least += [f"{c}r"] if size == 1 else []
+    first = F.col(least[0]) if len(least) == 1 else F.least(*least)
+    found = out.select(key, total.alias("n_matches"), first.alias("__first"))
+    state = F.when(F.col("n_matches") == 0, "absent").when(F.col("n_matches") == 1, "resolved").otherwise("ambiguous")
+    return found.select(key, "n_matches", F.when(F.col("n_matches") == 1, F.col("__first")).alias(record), state.alias("state"))

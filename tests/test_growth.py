@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 
-from tessera.operators import graph
+from tessera.operators import changes, graph
 from tessera.plans import catalogue
 
 
@@ -48,3 +50,15 @@ def test_groups_of_a_frequent_member_are_spread_over_tasks(spark):
             spark.conf.set(k, v)
     assert {tuple(r) for p in parts for r in p} == {("o", i) for i in range(1000)} | {("p", i) for i in range(0, 1000, 2)}
     assert max(map(len, parts)) < 1000
+
+
+def test_or_join_makes_no_row_for_each_pair(spark):
+    left = spark.range(20_000).selectExpr("id AS key", "'hot' AS p", "cast(id AS string) AS q")
+    right = spark.range(20_000).selectExpr("id AS record", "'hot' AS p", "cast(id * 3 AS string) AS q")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # 400 million pairs take longer
+    late.start()
+    try:
+        states = changes.or_join(left, right, [("p", "p"), ("q", "q")], "key", "record").groupBy("n_matches", "record", "state").count().collect()
+    finally:
+        late.cancel()
+    assert [tuple(r) for r in states] == [(20_000, None, "ambiguous", 20_000)]
