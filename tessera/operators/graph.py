@@ -114,12 +114,14 @@ def typed_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: lis
     start that is no node is `unknown` at hop 0. A node is reported once, however many paths come by."""
     kinds = nodes.select("node", F.col("kind").alias("__kind")).dropDuplicates(["node"])
     paths = starts.select(F.col("node").alias("h0")).distinct()
-    found = [paths.join(kinds, paths["h0"] == kinds["node"], "left_anti").select(F.lit(0).alias("hop"), F.col("h0").alias("node"), F.lit("unknown").alias("code"), F.lit(1).cast("long").alias("n"))]
-    paths = paths.join(kinds, paths["h0"] == kinds["node"], "left_semi")
+    given = kept(paths.join(kinds, paths["h0"] == kinds["node"], "left").select("h0", F.col("node").isNotNull().alias("__known")))
+    found = [given.filter("NOT __known").select(F.lit(0).alias("hop"), F.col("h0").alias("node"), F.lit("unknown").alias("code"), F.lit(1).cast("long").alias("n"))]
+    paths = given.filter("__known").select("h0")
+    ends = paths
     for i, hop in enumerate(hops, 1):
         here = f"h{i - 1}"
         step = edges.filter(F.col("kind") == hop.edge).select(F.col("dst" if hop.against else "src").alias("__a"), F.col("src" if hop.against else "dst").alias("__b")).filter("__a IS NOT NULL").distinct()
-        at = kept(paths.select(here).distinct())
+        at = kept(ends)
         if hop.transitive:
             reached = reachable(step, at.select(F.col(here).alias("node")), "__a", "__b").filter("depth > 0 AND node IS NOT NULL")
             step = reached.select(F.col("start").alias("__a"), F.col("node").alias("__b"))
@@ -132,6 +134,7 @@ def typed_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: lis
         each = F.explode(F.filter(F.array(*[F.when(holds, F.struct(F.lit(code).alias("code"), F.col(numbers.get(code, "n")).alias("n"))) for code, holds in told.items()]), lambda x: x.isNotNull()))
         found.append(counted.select(F.lit(i).alias("hop"), F.col(here).alias("node"), each.alias("v")).select("hop", "node", "v.code", "v.n"))
         steps = led.filter(right).select(here, F.col("__b").alias(f"h{i}"))
+        ends = steps.select(f"h{i}").distinct()  # where paths end: every node a step starts from is on one, so no path is needed
         if hop.once:
             shared = steps.groupBy(f"h{i}").agg(F.count("*").alias("n")).filter("n > 1")
             found.append(shared.select(F.lit(i).alias("hop"), F.col(f"h{i}").alias("node"), F.lit("shared").alias("code"), "n"))

@@ -62,3 +62,18 @@ def test_or_join_makes_no_row_for_each_pair(spark):
     finally:
         late.cancel()
     assert [tuple(r) for r in states] == [(20_000, None, "ambiguous", 20_000)]
+
+
+def test_violations_need_no_paths(spark):
+    n = 40_000
+    starts, mids = (spark.range(n).selectExpr(f"concat('{k}', id) AS node", f"'{k}' AS kind") for k in "sm")
+    nodes = starts.union(mids).union(spark.createDataFrame([("h", "h"), ("e", "e")], "node string, kind string"))
+    edges = starts.selectExpr("'a' AS kind", "node AS src", "'h' AS dst").union(mids.selectExpr("'b'", "'h'", "node")).union(mids.selectExpr("'c'", "node", "'e'"))
+    hops = [graph.Hop("a", ("h",)), graph.Hop("b", ("m",)), graph.Hop("c", ("e",), 1, 1, once=True)]
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # 1.6 billion paths take longer
+    late.start()
+    try:
+        against = graph.typed_paths(nodes, edges, starts.select("node"), hops)[1].collect()
+    finally:
+        late.cancel()
+    assert [tuple(r) for r in against] == [(3, "e", "shared", n)]
