@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import threading
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from tessera.functions import markup
 from tessera.operators import changes, graph
 from tessera.plans import catalogue
 
@@ -77,3 +80,17 @@ def test_violations_need_no_paths(spark):
     finally:
         late.cancel()
     assert [tuple(r) for r in against] == [(3, "e", "shared", n)]
+
+
+def test_texts_of_a_batch_are_strings_a_few_at_a_time(spark):
+    texts = pa.array([str(i) * 4000 for i in range(1000, 3000)] + [None, ""])
+    tracemalloc.start()
+    try:
+        cut = markup._over_strings(lambda t: t[:4]).func(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cut.to_pylist() == [str(i) for i in range(1000, 3000)] + [None, ""]
+    assert most < 8_000_000  # all texts are 32 MB
+    pages = spark.createDataFrame([("<p>a</p>b",), (None,)], "t string")
+    assert [r.x for r in pages.select(markup.html_text("t").alias("x")).collect()] == ["a b", None]
