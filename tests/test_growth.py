@@ -94,3 +94,11 @@ def test_texts_of_a_batch_are_strings_a_few_at_a_time(spark):
     assert most < 8_000_000  # all texts are 32 MB
     pages = spark.createDataFrame([("<p>a</p>b",), (None,)], "t string")
     assert [r.x for r in pages.select(markup.html_text("t").alias("x")).collect()] == ["a b", None]
+
+
+def test_best_overlap_makes_its_pairs_once(spark, stored):
+    lines = [(20, 1), (20, 2), (20, 2), (3, 1), (3, 2), (4, 1), (4, 2), (5, 2), (40, 2), (40, None), (7, None)]
+    folder = stored(lineitem=(lines, "l_orderkey long, l_partkey long"))
+    assert found(spark, "best_evidence_overlap", folder) == [(20, 2, 2, 3, True), (40, 1, 4, 3, True)]
+    plan = catalogue.QUERIES["best_evidence_overlap"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
